@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import bpe
+from panelweave.llm import bpe, decontaminate, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": bpe.op2_bpe,
+    "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op8_decontamination": decontaminate.op8_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": quality_rules.SQL,
+    "op8_decontamination": decontaminate.SQL,
+}
