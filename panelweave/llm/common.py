@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -40,3 +41,15 @@ def sha256_text(text: Column) -> Column:
 def strings(column: pa.Array) -> list:
     """Python strings of an Arrow column, null as the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """For what is executed inside: rows of an Arrow batch. For numbers a large batch is best."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import bpe, decontaminate, quality_rules
+from panelweave.llm import bpe, decontaminate, quality_rules, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": simhash.op1_simhash,
     "op2_bpe": bpe.op2_bpe,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op8_decontamination": decontaminate.op8_decontamination,
