@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import bpe, decontaminate, quality_rules, simhash
+from panelweave.llm import bpe, decontaminate, quality_rules, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_bpe": bpe.op2_bpe,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op8_decontamination": decontaminate.op8_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": substring_dedup.SQL,
     "op4_quality_rules": quality_rules.SQL,
     "op8_decontamination": decontaminate.SQL,
 }
