@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import bpe, decontaminate, quality_rules, secrets, simhash, substring_dedup
+from panelweave.llm import bpe, decontaminate, quality_rules, secrets, simhash, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_bpe": bpe.op2_bpe,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_secrets": secrets.op7_secrets,
     "op8_decontamination": decontaminate.op8_decontamination,
 }
