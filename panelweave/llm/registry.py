@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import bpe, decontaminate, quality_rules, secrets, simhash, substring_dedup, toxicity
+from panelweave.llm import bpe, decontaminate, quality_rules, secrets, simhash, substring_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_warc": warc.op6_warc,
     "op7_secrets": secrets.op7_secrets,
     "op8_decontamination": decontaminate.op8_decontamination,
 }
@@ -21,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": substring_dedup.SQL,
     "op4_quality_rules": quality_rules.SQL,
+    "op6_warc": warc.SQL,
     "op8_decontamination": decontaminate.SQL,
 }
