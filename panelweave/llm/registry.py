@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import bpe, decontaminate, quality_rules, secrets, simhash, substring_dedup, toxicity, warc
+from panelweave.llm import bpe, decontaminate, quality_classifier, quality_rules, secrets, simhash, substring_dedup, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": warc.op6_warc,
     "op7_secrets": secrets.op7_secrets,
     "op8_decontamination": decontaminate.op8_decontamination,
+    "op9_url_filter": url_filter.op9_url_filter,
+    "op10_quality_classifier": quality_classifier.op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -24,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_quality_rules": quality_rules.SQL,
     "op6_warc": warc.SQL,
     "op8_decontamination": decontaminate.SQL,
+    "op9_url_filter": url_filter.SQL,
 }
