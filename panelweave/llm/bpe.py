@@ -273,25 +273,29 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
     return arrow_map(docs, run, f"{fields}, token_ids binary, decoded binary")
 
 
-def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
-    """Per row ``key, n_tokens, ids_sha256, decoded_sha256``: the same codec, with digests taken beside the ids."""
+def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, ids: bool = False) -> DataFrame:
+    """Per row ``key, n_tokens, ids_sha256, decoded_sha256``, and with ``ids`` also ``token_ids`` (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            counts, of_ids, of_bytes = [], [], []
+            counts, of_ids, of_bytes, all_ids = [], [], [], []
             for x in strings(batch.column(1)):
-                ids = own.encode(x)
-                counts.append(len(ids) // 4)
-                of_ids.append(hashlib.sha256(ids).hexdigest())
-                of_bytes.append(hashlib.sha256(own.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
-                [key, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+                found = own.encode(x)
+                counts.append(len(found) // 4)
+                of_ids.append(hashlib.sha256(found).hexdigest())
+                of_bytes.append(hashlib.sha256(own.decode(found)).hexdigest())
+                if ids:
+                    all_ids.append(found)
+            arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+            names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+            if ids:
+                arrays, names = [*arrays, pa.array(all_ids, pa.binary())], [*names, "token_ids"]
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     kind = docs.schema[key].dataType.simpleString()
-    return arrow_map(docs.select(key, text), run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids binary" * ids
+    return arrow_map(docs.select(key, text), run, schema)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,6 +147,13 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", key: st
     )
 
 
+def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
+    """The rows of ``docs`` without any hit."""
+    found = contamination(docs, items, text, key, item).where("n_hit > 0").select(F.col(key).alias("_k"), F.col("th").alias("_th")).distinct()
+    row_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    return docs.join(found, F.col(key).eqNullSafe(F.col("_k")) & (row_hash == F.col("_th")), "left_anti")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(

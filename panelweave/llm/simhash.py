@@ -60,14 +60,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """``key, fp`` per row, ``fp`` as a signed 64-bit integer. A narrow map."""
+    """``key, th, fp`` per row: the hash of the text and the fingerprint as a signed 64-bit integer. A narrow map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x, shingle) for x in strings(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], [key, "fp"])
+            found = np.array([fingerprint(x, shingle) for x in strings(batch.column(2))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], [key, "th", "fp"])
 
-    return arrow_map(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, fp bigint")
+    rows = docs.select(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), text)
+    return arrow_map(rows, run, f"`{key}` {docs.schema[key].dataType.simpleString()}, th bigint, fp bigint")
 
 
 def variants(fps: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -238,15 +239,30 @@ def components(fps: DataFrame, distance: int = DISTANCE, hot_from: int = HOT) ->
     return connected_components(found).select(F.col("node").alias("fp"), "root")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE, hot_from: int = HOT) -> DataFrame:
-    """``key, fingerprint`` (16 hexadecimal digits) ``, component_id`` (the least key reachable), one row per row of ``docs``."""
+def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE, hot_from: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """Rows ``key, th, fp``, and per distinct ``fp`` its ``root`` and ``component_id`` (the least key reachable)."""
     owned = materialise(fingerprints(docs, text, key, shingle), "fingerprints")
     nodes = materialise(owned.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
     rooted = nodes.join(components(nodes.select("fp"), distance, hot_from), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(rooted.join(named, "root").select("fp", "component_id"), "components")
+    return owned, materialise(rooted.join(named, "root").select("fp", "root", "component_id"), "components")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """``key, fingerprint`` (16 hexadecimal digits) ``, component_id``, one row per row of ``docs``."""
+    owned, named = grouped(docs, text, key, **options)
     return owned.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with one row of each component: that of the least key (null last; of equal keys one text, of equal rows one)."""
+    owned, named = grouped(docs, text, key, **options)
+    order = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("k"), F.col("th"))
+    chosen = owned.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("c")).select(F.col("c.k").alias("_k"), F.col("c.th").alias("_th"))
+    rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    kept = rows.join(chosen, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_text_hash") == F.col("_th")), "left_semi")
+    return kept.dropDuplicates([key, "_text_hash"]).select(*docs.columns)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
