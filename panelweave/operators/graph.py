@@ -51,3 +51,28 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
         raise RuntimeError(f"no convergence after {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def consolidate_ids(pairs: DataFrame, left: str, right: str, id: str = "id", numeric: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``id_map`` and ``cluster_summary`` of unstable ids linked in pairs.
+
+    Ids are normalised, pairs with a null or with themselves dropped, the rest
+    taken as undirected. A cluster's canonical id is its least member: by number
+    if all members are numbers, else by text. Ids in no valid pair do not appear.
+    """
+    from panelweave.functions.columns import as_number, normal_id
+
+    edges = pairs.select(normal_id(F.col(left), numeric).alias("a"), normal_id(F.col(right), numeric).alias("b"))
+    members = connected_components(edges).select(F.col("node").alias("m"), "root").withColumn("n", as_number(F.col("m")))
+    by_number = F.min(F.struct(F.col("n"), F.col("m")))
+    clusters = members.groupBy("root").agg(
+        F.when(F.count("n") == F.count("*"), by_number["m"]).otherwise(F.min("m")).alias("canonical_id"),
+        F.count("*").cast("int").alias("cluster_size"),
+    )
+    clusters = materialise(clusters, "clusters")
+    named = members.join(clusters, "root")
+    id_map = named.select(F.col("m").alias(id), "canonical_id", F.col("canonical_id").alias("cluster_id"), "cluster_size")
+    order = F.struct(F.col("n").isNull().alias("late"), F.col("n").alias("n"), F.col("m").alias("m"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["m"]), "|")
+    summary = named.groupBy("canonical_id", "cluster_size").agg(listed.alias("member_ids"))
+    return id_map, summary.select(F.col("canonical_id").alias("cluster_id"), "canonical_id", "cluster_size", "member_ids")

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelweave.plans import linkage, panels
+
 FLAGSHIP = "q01_asof_group_mean"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = linkage.QUERIES | panels.QUERIES
+ORACLE_SQL: dict[str, str] = linkage.ORACLE_SQL | panels.ORACLE_SQL
