@@ -24,13 +24,16 @@ import string
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelweave.session import table
+from panelweave.session import materialise, table
 
 WINDOW, GRAM = 10, 5
 
 #: Rows of the fingerprint list up to which it is broadcast (24 bytes each).
 BROADCAST_ROWS = 500_000
 
+#: Values of ``fp`` that rows of size 0 have, so that no one value is frequent.
+COUNTS = 1024
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -51,15 +54,18 @@ def _grams(h: str, size: int) -> Column:
 
 
 def fingerprints(words: DataFrame, keys: list[str], short: tuple[int, ...] = ()) -> DataFrame:
-    """``keys, size, fp, at``: the winnowed five-word grams (size 10) and all grams of the sizes in ``short``."""
+    """``keys, size, fp, at``: the winnowed five-word grams (size 10) and all grams of the sizes in ``short``.
+
+    Every row also gives one of size 0, with the number of words as ``at`` and a small number as ``fp``.
+    """
     step = words.select(*keys, F.transform("words", lambda x: F.xxhash64(x)).alias("h"))
-    step = step.select(*keys, *(["h"] if short else []), _grams("h", GRAM).alias("g"))
+    step = step.select(*keys, F.size("h").alias("n"), *(["h"] if short else []), _grams("h", GRAM).alias("g"))
     span = WINDOW - GRAM + 1
     least = F.transform(
         F.slice("g", 1, F.greatest(F.size("g") - (span - 1), F.lit(0))),
         lambda x, i: F.least(x, *[F.get("g", i + k) for k in range(1, span)]),
     )
-    step = step.select(*keys, *(["h"] if short else []), "g", least.alias("m"))
+    step = step.select(*keys, "n", *(["h"] if short else []), "g", least.alias("m"))
 
     def chosen(x: Column, i: Column) -> Column:
         found = F.coalesce(F.get("m", i) == x, F.lit(False))
@@ -69,7 +75,10 @@ def fingerprints(words: DataFrame, keys: list[str], short: tuple[int, ...] = ())
 
     rows = F.filter(F.transform("g", chosen), lambda e: e.isNotNull())
     for size in short:
-        rows = F.concat(rows, F.transform(_grams("h", size), lambda x, i, s=size: F.struct(F.lit(s).alias("size"), x.alias("fp"), i.alias("at"))))
+        sized = F.lit(size).alias("size")
+        rows = F.concat(rows, F.transform(_grams("h", size), lambda x, i: F.struct(sized, x.alias("fp"), i.alias("at"))))  # noqa: B023
+    count = F.struct(F.lit(0).alias("size"), F.pmod(F.xxhash64(*keys, "n"), F.lit(COUNTS)).alias("fp"), F.col("n").alias("at"))
+    rows = F.concat(F.array(count), rows)
     return step.select(*keys, F.explode(rows).alias("e")).select(*keys, "e.size", "e.fp", "e.at")
 
 
@@ -89,8 +98,7 @@ def _item_fingerprints(windows: DataFrame, short: tuple[int, ...]) -> DataFrame:
     """Distinct ``size, fp, offset``: the fingerprint of each window and where in the window it is."""
     found = fingerprints(windows.select("words"), [], short)
     # a window of ten words is also a text, and holds shorter grams: only grams at offset 0 of windows of that size count
-    full = found.where(F.col("size") == WINDOW)
-    rows = full
+    rows = found.where(F.col("size") == WINDOW)
     for size in short:
         own = windows.where(F.col("size") == size).select("words")
         rows = rows.unionByName(fingerprints(own, [], (size,)).where(F.col("size") == size))
@@ -112,9 +120,12 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", key: st
     t = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(key).alias("k"), F.xxhash64(t).alias("th"), t.alias("t"))
     prints = fingerprints(base.select("k", "th", words_of(F.col("t")).alias("words")), ["k", "th"], short)
-    near = prints.join(bounded(marks), ["size", "fp"]).select("k", "th", F.struct("size", (F.col("at") - F.col("offset")).alias("at")).alias("c"))
-    places = near.where("c.at >= 0").groupBy("k", "th").agg(F.collect_set("c").alias("places"))
-    places = places.select(F.col("k").alias("pk"), F.col("th").alias("pth"), "places")
+    counts = docs.sparkSession.range(COUNTS).select(F.lit(0).alias("size"), F.col("id").alias("fp"), F.lit(0).alias("offset"))
+    near = prints.join(bounded(marks.unionByName(counts)), ["size", "fp"]).select("k", "th", F.struct("size", (F.col("at") - F.col("offset")).alias("at")).alias("c"))
+    near = near.where("c.at >= 0").groupBy("k", "th")
+    near = near.agg(F.collect_set(F.when(F.col("c.size") > 0, F.col("c"))).alias("places"), F.max(F.when(F.col("c.size") == 0, F.col("c.at"))).alias("n_words"))
+    near = materialise(near, "places")
+    places = near.where(F.size("places") > 0).select(F.col("k").alias("pk"), F.col("th").alias("pth"), "places")
 
     # extend: the words at each place against the words of the windows
     found = base.join(places, F.col("k").eqNullSafe(F.col("pk")) & (F.col("th") == F.col("pth")))
@@ -126,7 +137,6 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", key: st
     hits = hits.groupBy("k", "th").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     hits = hits.select(F.col("k").alias("pk"), F.col("th").alias("pth"), "spans", "items")
 
-    n_words = F.size(F.regexp_extract_all("t", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))).cast("long")
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
@@ -136,7 +146,8 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", key: st
         ),
         lambda a: a["n"],
     )
-    every = base.select("k", "th", n_words.alias("n_words"))
+    counted = near.select(F.col("k").alias("nk"), F.col("th").alias("nth"), F.col("n_words").cast("long").alias("n_words"))
+    every = base.select("k", "th").join(counted, F.col("k").eqNullSafe(F.col("nk")) & (F.col("th") == F.col("nth")))
     return every.join(hits, F.col("k").eqNullSafe(F.col("pk")) & (F.col("th") == F.col("pth")), "left").select(
         F.col("k").alias(key),
         "th",
