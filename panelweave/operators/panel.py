@@ -129,3 +129,20 @@ def shares_by_period(df: DataFrame, period: str, eligible: Column, took_part: Co
     """Per period: rows, eligible, participating, and the participating share of the eligible in percent."""
     out = df.groupBy(period).agg(F.count("*").alias("rows"), F.sum(flag(eligible)).cast("long").alias("eligible"), F.sum(flag(took_part)).cast("long").alias("participating"))
     return out.withColumn("percent", 100 * ratio(F.col("participating"), F.col("eligible")))
+
+
+def outcome_panel(enrolment: DataFrame, outcome: DataFrame, schools: DataFrame, keys: Sequence[str], school: str) -> DataFrame:
+    """Enrolments with their year-end outcome and the attributes of the school at year end.
+
+    Left joins on the enrolment's keys, then on the outcome's ``school``; several
+    outcomes or several versions of a school give several rows, as they are.
+    All years go through at once if the year is among the keys.
+    """
+    return enrolment.join(outcome, list(keys), "left").join(schools, school, "left")
+
+
+def units_by_level(df: DataFrame, group: Sequence[str], levels: Sequence[str], name: str = "level", out: str = "n") -> DataFrame:
+    """Per group and level the number of rows whose count in that level's column is above zero (missing is zero)."""
+    wide = df.select(*group, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in levels])
+    long = wide.unpivot(list(group), list(levels), name, "_count")
+    return long.where("_count > 0").groupBy(*group, name).agg(F.count("*").alias(out))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelweave.operators import classify as classes, did, impute, panel, quality
-from panelweave.operators.relational import frequency, full_merge, shares_within, unpivot
+from panelweave.operators.relational import frequency, full_merge, shares_within
 from panelweave.session import table
 from panelweave.sources.io import schema_of, union_by_name
 
@@ -184,9 +184,7 @@ SELECT user_id, max(x) = 1 AND max(CASE WHEN b = 1 AND x = 0 THEN 1 ELSE 0 END)
 
 def unpivot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantity, discount and tax as long rows: how many are above zero, per status and flag, missing counted as zero."""
-    lines = table(spark, sf_dir, "lineitem").select("l_linestatus", "l_returnflag", "l_quantity", "l_discount", "l_tax").fillna(0.0)
-    long = unpivot(lines, ["l_linestatus", "l_returnflag"], ["l_quantity", "l_discount", "l_tax"], "measure", "amount")
-    return long.where("amount > 0").groupBy("l_linestatus", "l_returnflag", "measure").agg(F.count("*").alias("n"))
+    return panel.units_by_level(table(spark, sf_dir, "lineitem"), ["l_linestatus", "l_returnflag"], ["l_quantity", "l_discount", "l_tax"], "measure")
 
 
 UNPIVOT_SQL = """
@@ -353,7 +351,7 @@ def outcome_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", _year("o_orderdate").alias("year"))
     outcome = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_returnflag")
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    rows = orders.join(outcome, "o_orderkey", "left").join(suppliers, "l_suppkey", "left")
+    rows = panel.outcome_panel(orders, outcome, suppliers, ["o_orderkey"], "l_suppkey")
     return rows.groupBy("year", "l_returnflag").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("orders"), F.count_distinct("s_nationkey").alias("nations"))
 
 

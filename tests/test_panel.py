@@ -62,6 +62,16 @@ def test_levels_without_persons_make_the_rest_null(spark):
     assert rows(panel.level_counts(*args, fill=True)) == sorted([("s", 1, 1, 3, 1), ("t", 1, 0, 2, 1), ("u", 0, 0, 0, 0)], key=repr)
 
 
+def test_outcomes_fan_out_and_levels_count_units(spark):
+    enrolled = spark.createDataFrame([(1, 2010, 5), (2, 2010, 5), (3, 2010, 6)], "p int, y int, stage int")
+    outcome = spark.createDataFrame([(1, 2010, 70, 1), (1, 2010, 71, 2), (2, 2010, 99, 1)], "p int, y int, end_school int, situation int")
+    schools = spark.createDataFrame([(70, "N"), (70, "S"), (71, "N")], "end_school int, region string")
+    found = panel.outcome_panel(enrolled, outcome, schools, ["p", "y"], "end_school")
+    assert rows(found, "p", "end_school", "region") == sorted([(1, 70, "N"), (1, 70, "S"), (1, 71, "N"), (2, 99, None), (3, None, None)], key=repr)
+    counts = spark.createDataFrame([("s", 2005, 3, None), ("t", 2005, 0, 2), ("u", 2005, 1, 1)], "school string, year int, I int, II int")
+    assert rows(panel.units_by_level(counts, ["year"], ["I", "II"])) == [(2005, "I", 2), (2005, "II", 2)]
+
+
 def test_short_keys(spark):
     a = spark.createDataFrame([(1234567, 2005), (7654321, 2005)], "city int, year int")
     b = spark.createDataFrame([("123456", 2005, 9.5), ("123456", 2006, 1.0)], "city6 string, year int, gdp double")
