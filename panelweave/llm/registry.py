@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelweave.llm import bpe, decontaminate, quality_classifier, quality_rules, secrets, simhash, substring_dedup, toxicity, url_filter, warc
+from panelweave.llm import bpe, decontaminate, quality_classifier, quality_rules, secrets, secrets_sql, simhash, substring_dedup, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -25,6 +25,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": substring_dedup.SQL,
     "op4_quality_rules": quality_rules.SQL,
     "op6_warc": warc.SQL,
+    "op7_secrets": secrets_sql.SQL,
     "op8_decontamination": decontaminate.SQL,
     "op9_url_filter": url_filter.SQL,
 }

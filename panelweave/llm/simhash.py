@@ -261,7 +261,10 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **opti
     chosen = owned.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("c")).select(F.col("c.k").alias("_k"), F.col("c.th").alias("_th"))
     rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     kept = rows.join(chosen, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_text_hash") == F.col("_th")), "left_semi")
-    return kept.dropDuplicates([key, "_text_hash"]).select(*docs.columns)
+    # whole texts are dealt out again only if some row does come twice
+    if owned.groupBy(key, "th").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([key, "_text_hash"])
+    return kept.select(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
