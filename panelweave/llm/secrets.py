@@ -24,7 +24,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelweave.session import table
+from panelweave.session import materialise, table
 
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -82,7 +82,11 @@ def _merge(step: DataFrame, keep, pieces: list[str], patterns: list[str], name:
 
 def samples(docs: DataFrame, text: str = "text", key: str = "doc_id", limit: int = SAMPLE_DOCS, synthetic: int = SYNTHETIC) -> DataFrame:
     """Labelled strings, ``s`` and ``random``: of a bounded sample of documents, and made digests."""
-    chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).orderBy(F.md5(F.coalesce(F.col("k").cast("string"), F.lit(""))), "text").limit(limit)
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # ids first, so that no task keeps texts to choose from; an id that many rows share adds its least text
+    ids = rows.select("k").distinct().orderBy(F.md5(F.coalesce(F.col("k").cast("string"), F.lit(""))), "k").limit(limit)
+    chosen = rows.join(F.broadcast(ids.withColumnRenamed("k", "_k")), F.col("k").eqNullSafe(F.col("_k"))).groupBy("k").agg(F.min("text").alias("text"))
+    chosen = materialise(chosen, "secrets-sample")
     found = base_spans(chosen, keep=())
     positive = found.select(F.explode("base.value").alias("s"), F.lit(True).alias("random"))
     rest = F.col("t")
