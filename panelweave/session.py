@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,8 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = os.environ.get("PANELWEAVE_SHARED") or tempfile.mkdtemp(prefix="panelweave-")
-        os.environ["PANELWEAVE_SHARED"] = folder
+        folder = os.environ.get("PANELWEAVE_SHARED")
+        if not folder:
+            folder = os.environ["PANELWEAVE_SHARED"] = tempfile.mkdtemp(prefix="panelweave-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder.rstrip("/")
 
 
@@ -50,6 +54,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Delete all that ``materialise`` has written. Only when no result that rests on it is still to be computed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/panelweave")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by Spark's own reader so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
