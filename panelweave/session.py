@@ -30,6 +30,10 @@ def build_session(app: str = "panelweave", master: str | None = None, **conf: st
     return spark
 
 
+#: What this process writes is in one folder of its own.
+RUN = uuid.uuid4().hex
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,6 +45,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _forget(folder: str) -> None:
+    shutil.rmtree(folder, ignore_errors=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. Where that is a local folder, it goes when the process ends."""
+    folder = f"{shared_dir(spark)}/panelweave-{RUN}"
+    local = folder.removeprefix("file://")
+    if local.startswith("/") and local not in _known:
+        _known.add(local)
+        atexit.register(_forget, local)
+    return f"{folder}/{uuid.uuid4().hex}/{name}"
+
+
+_known: set[str] = set()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` once to the shared folder and read it back.
 
@@ -48,15 +69,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     ``checkpoint()`` it is columnar, compressed and computed exactly once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/panelweave/{uuid.uuid4().hex}/{name}"
+    path = scratch(spark, name)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
 def clear_shared(spark: SparkSession) -> None:
-    """Delete all that ``materialise`` has written. Only when no result that rests on it is still to be computed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/panelweave")
+    """Delete all that this process has written by ``materialise``. Only when no result that rests on it is still to be computed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/panelweave-{RUN}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -1,15 +1,15 @@
-import os
+import glob
 
 from panelweave import session
 
 
-def test_materialise_and_clear(spark, tmp_path, monkeypatch):
-    monkeypatch.setenv("PANELWEAVE_SHARED", str(tmp_path))
+def test_materialise_and_clear(spark):
+    folder = f"{session.shared_dir(spark).removeprefix('file://')}/panelweave-{session.RUN}"
     df = session.materialise(spark.range(5), "five")
-    assert df.count() == 5 and "panelweave" in os.listdir(tmp_path)
+    assert df.count() == 5 and glob.glob(f"{folder}/*/five")
     assert session.materialise(spark.range(0), "none").schema == spark.range(0).schema
     session.clear_shared(spark)
-    assert "panelweave" not in os.listdir(tmp_path)
+    assert not glob.glob(f"{folder}/*")
 
 
 def test_partitions_follow_the_session(spark):
