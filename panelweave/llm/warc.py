@@ -25,14 +25,13 @@ Extra columns are ignored; an empty table gives an archive without records.
 from __future__ import annotations
 
 import gzip
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelweave.llm.common import arrow_map
-from panelweave.session import shared_dir, table
+from panelweave.session import scratch, table
 
 MIN_REVISIT = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -169,7 +168,7 @@ def read_warc_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/panelweave/{uuid.uuid4().hex}/archive"
+    folder = scratch(spark, "archive")
     write_archive(table(spark, sf_dir, "pages"), folder)
     return read_archive(spark, folder).select(
         F.when(F.col("record_id") != "", F.col("record_id").cast("long")).alias("page_id"),
