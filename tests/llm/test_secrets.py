@@ -75,12 +75,12 @@ def test_planted_and_edge_cases(spark, small):
         assert r["text"] == out + text[at:]
 
 
-def test_sql_finds_the_same_runs(spark, tmp_path):
+def test_sql_finds_the_same_runs(spark, small, tmp_path):
     import duckdb
 
     from panelweave.llm.secrets_sql import SQL
 
-    lines = [f"{i}xK9qZ2mV7wT4nR8bY1pH6 and order_number_2024_for_the_customer" for i in range(5)] + [t or "" for t in TEXTS[:6]]
+    lines = [r["text"] for r in table(spark, small, "documents").collect()] + [t or "" for t in TEXTS[:6]]
     spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
