@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from panelweave.session import importable
+
 #: Rows that one Arrow batch may hold: long texts make a batch large long before the default of 10,000 rows.
 BATCH_ROWS = 512
 
@@ -25,15 +25,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import the package from where the driver has it (a no-op where it is installed)."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
-
-
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over small batches, by workers that find this package wherever the session was started."""
     small_batches(df.sparkSession)
