@@ -8,7 +8,7 @@ log-likelihood ratio is high enough is a span of kind ``markov``.
 Labelled samples: random are the values that the patterns find in a bounded
 sample of documents (``SAMPLE_DOCS``, by the digest of their id), and digests
 made here (``SYNTHETIC``); ordinary are all other runs of the sample. What is
-fitted is one table of 66 x 66 integers (thousandths of a nat), whatever the
+fitted is one table of 67 x 67 integers (thousandths of a nat), whatever the
 size of the corpus; scanning covers every text whole.
 
 Positions are code points: ``\\G.*?pattern`` cuts a text into pieces that end with
@@ -103,7 +103,7 @@ def train(labelled: DataFrame) -> list[int]:
     """The table of log-likelihood ratios, row by row: thousandths of ln P(next | this, random) / P(next | this, ordinary)."""
     pairs = F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, F.lit(2)))
     rows = labelled.where(F.length("s") >= 2).select("random", F.explode(pairs).alias("pair"))
-    counts = rows.groupBy("random", "pair").count().where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).collect()  # 2 x 66 x 66 at most
+    counts = rows.groupBy("random", "pair").count().where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).collect()  # 2 x 67 x 67 at most
     size = len(ALPHABET)
     seen = {True: [0] * size * size, False: [0] * size * size}
     for r in counts:
