@@ -140,7 +140,10 @@ FROM (SELECT *, row_number() OVER (PARTITION BY id_left ORDER BY similarity DESC
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations of customers and suppliers that meet in a returned line of high discount, as ids in pairs."""
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_discount >= 0.1 and l_quantity >= 50")
+    return _as_ids(table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_discount >= 0.1 and l_quantity >= 50"))
+
+
+def _as_ids(lines: DataFrame) -> DataFrame:
     return lines.select(F.concat(F.lit(" "), F.col("l_suppkey").cast("string")).alias("x"), F.concat((F.col("l_partkey") + 100000).cast("string"), F.lit(".0")).alias("y"))
 
 
@@ -153,6 +156,16 @@ def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.consolidate_ids(_pairs(spark, sf_dir), "x", "y")[1]
 
 
+def id_map_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical id of every supplier and part that a chain of any lines links: no line is left out."""
+    return graph.consolidate_ids(_as_ids(table(spark, sf_dir, "lineitem")), "x", "y")[0]
+
+
+def cluster_summary_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the suppliers and parts of all lines, with their members."""
+    return graph.consolidate_ids(_as_ids(table(spark, sf_dir, "lineitem")), "x", "y")[1]
+
+
 _COMPONENTS = """
 WITH RECURSIVE e AS (
   SELECT DISTINCT l_suppkey AS a, l_partkey + 100000 AS b FROM lineitem WHERE l_returnflag = 'R' AND l_discount >= 0.1 AND l_quantity >= 50
@@ -240,6 +253,8 @@ QUERIES = {
     "q12_fuzzy_best": fuzzy_best,
     "q13_id_map": id_map,
     "q13b_cluster_summary": cluster_summary,
+    "q13c_id_map_all": id_map_all,
+    "q13d_cluster_summary_all": cluster_summary_all,
     "q16_keep_first": keep_first_part,
     "q20_short_key_join": short_key_join,
     "q24_mark_and_update": mark_and_update,
