@@ -78,6 +78,24 @@ SELECT *, max(participant) OVER (PARTITION BY l_suppkey) AS any_participation FR
 """
 
 
+def full_outer_panel_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers by year: returned lines against all others, of any part and quantity."""
+    lines = _lines(spark, sf_dir)
+    count = lambda kept: lines.where(kept).groupBy("l_suppkey", "year").agg(F.count("*").alias("n"))
+    return panel.participation_panel(count("l_returnflag = 'R'"), count("l_returnflag is distinct from 'R'"), "l_suppkey", "year")
+
+
+FULL_ALL_SQL = """
+WITH l AS (SELECT l_suppkey, CAST(year(o_orderdate) AS INTEGER) AS year, l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+a AS (SELECT l_suppkey, year, count(*) AS n FROM l WHERE l_returnflag = 'R' GROUP BY 1, 2),
+b AS (SELECT l_suppkey, year, count(*) AS n FROM l WHERE l_returnflag IS DISTINCT FROM 'R' GROUP BY 1, 2),
+m AS (SELECT coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey, coalesce(a.year, b.year) AS year, a.n, b.n AS n_census,
+        CASE WHEN a.n IS NOT NULL THEN 1 ELSE 0 END AS participant, CASE WHEN b.n IS NULL THEN 1 ELSE 0 END AS missing_census
+      FROM a FULL JOIN b ON a.l_suppkey = b.l_suppkey AND a.year = b.year)
+SELECT *, max(participant) OVER (PARTITION BY l_suppkey) AS any_participation FROM m
+"""
+
+
 def three_way_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of three kinds of lines per supplier and year, merged outer on both keys."""
     lines = _lines(spark, sf_dir).where("l_quantity > 45")
@@ -92,6 +110,20 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45 AND l
 """
 
 
+def three_way_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all lines per supplier and year by return flag, merged outer on both keys."""
+    lines = _lines(spark, sf_dir)
+    part = lambda flag, name: lines.where(F.col("l_returnflag") == flag).groupBy("l_suppkey", "year").agg(F.count("*").alias(name))
+    return full_merge([part("R", "n_r"), part("A", "n_a"), part("N", "n_n")], ["l_suppkey", "year"])
+
+
+MERGE_ALL_SQL = """
+SELECT l_suppkey, CAST(year(o_orderdate) AS INTEGER) AS year, nullif(count(*) FILTER (l_returnflag = 'R'), 0) AS n_r,
+       nullif(count(*) FILTER (l_returnflag = 'A'), 0) AS n_a, nullif(count(*) FILTER (l_returnflag = 'N'), 0) AS n_n
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag IN ('R', 'A', 'N') GROUP BY 1, 2
+"""
+
+
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct orders per supplier and year in line-number levels I and II, in all, and the rest."""
     return panel.level_counts(_lines(spark, sf_dir), ["l_suppkey", "year"], "l_orderkey", "l_linenumber", {"level_I": (1, 2), "level_II": (3, 4)}, total=range(1, 8))
@@ -389,6 +421,8 @@ QUERIES = {
     "q06_duplication_classes": duplication_classes,
     "q08_full_outer_panel": full_outer_panel,
     "q08b_three_way_merge": three_way_merge,
+    "q08c_full_outer_panel_all": full_outer_panel_all,
+    "q08d_three_way_merge_all": three_way_merge_all,
     "q09_levels_one_pass": levels,
     "q10_histories": user_histories,
     "q10b_cohort_shares": cohort_shares,
@@ -414,6 +448,8 @@ ORACLE_SQL = {
     "q06_duplication_classes": CLASSES_SQL,
     "q08_full_outer_panel": FULL_SQL,
     "q08b_three_way_merge": MERGE_SQL,
+    "q08c_full_outer_panel_all": FULL_ALL_SQL,
+    "q08d_three_way_merge_all": MERGE_ALL_SQL,
     "q09_levels_one_pass": LEVELS_SQL,
     "q10_histories": HISTORY_SQL,
     "q10b_cohort_shares": COHORT_SQL,

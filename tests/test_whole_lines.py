@@ -45,3 +45,14 @@ def test_ids_of_all_lines_against_union_find(spark, tmp_path):
 
     found = entry.queries()["q13d_cluster_summary_all"](spark, folder).collect()
     assert sorted(map(tuple, found)) == sorted((str(r), str(r), len(m), "|".join(map(str, m))) for r, m in members.items())
+
+
+def test_sides_of_the_panel_count_every_line(spark, tmp_path):
+    # small quantities, parts of every remainder; supplier 3 has returns only, supplier 4 a line without flag
+    rows = [(1, 1, p, "R" if p % 3 else "A", 1.0) for p in range(140)] + [(1, 3, 5, "R", 2.0), (1, 4, 6, None, 3.0), (1, 5, 8, "N", 60.0)]
+    folder = lineitem(spark, tmp_path, rows, "l_orderkey long, l_suppkey long, l_partkey long, l_returnflag string, l_quantity double")
+    spark.createDataFrame([(1, 9, "1995-05-05")], ["o_orderkey", "o_custkey", "o_orderdate"]).write.parquet(f"{folder}/orders.parquet")
+    found = entry.queries()["q08c_full_outer_panel_all"](spark, folder).select("l_suppkey", "n", "n_census", "participant", "missing_census").collect()
+    assert sorted(map(tuple, found)) == [(1, 93, 47, 1, 0), (3, 1, None, 1, 1), (4, None, 1, 0, 0), (5, None, 1, 0, 0)]
+    found = entry.queries()["q08d_three_way_merge_all"](spark, folder).select("l_suppkey", "n_r", "n_a", "n_n").collect()
+    assert sorted(map(tuple, found)) == [(1, 93, 47, None), (3, 1, None, None), (5, None, None, 1)]
