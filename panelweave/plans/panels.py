@@ -285,7 +285,15 @@ SELECT b.year, b.l_linenumber, b.l_suppkey, s_nationkey, count(*) AS n, CAST(sum
 
 def replication_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders against their customer's balance as if they were two years of one person."""
-    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '5-LOW'")
+    return _checks(table(spark, sf_dir, "orders").where("o_orderpriority = '5-LOW'"))
+
+
+def replication_checks_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same checks over orders of every priority."""
+    return _checks(table(spark, sf_dir, "orders"))
+
+
+def _checks(orders: DataFrame) -> DataFrame:
     first = orders.groupBy(F.col("o_custkey").alias("person")).agg(F.min("o_orderkey").alias("k"))
     before = first.select("person", F.nullif(F.col("k") % 5, F.lit(0)).alias("school"), (F.col("k") % 3).alias("stage"), (F.col("k") % 40).alias("age"))
     after = first.select("person", (F.col("k") % 4).alias("school"), (F.col("k") % 40 + F.col("k") % 2).alias("age"))
@@ -306,6 +314,20 @@ UNION ALL SELECT 'age_violations', sum(CASE WHEN age2 <> age + 1 THEN 1 ELSE 0 E
 UNION ALL SELECT 'moved', round(avg(CAST(school2 <> school AS INTEGER)), 6) FROM p
 """
 
+CHECKS_ALL_SQL = """
+WITH f AS (SELECT o_custkey AS person, min(o_orderkey) AS k FROM orders GROUP BY 1),
+b AS (SELECT person, nullif(k % 5, 0) AS school, k % 40 AS age FROM f), a AS (SELECT person, k % 4 AS school, k % 40 + k % 2 AS age FROM f),
+p AS (SELECT b.school, b.age, a.school AS school2, a.age AS age2 FROM b JOIN a USING (person))
+SELECT 'rows_before' AS check, CAST(count(*) AS DOUBLE) AS value FROM b
+UNION ALL SELECT 'rows_after', count(*) FROM a
+UNION ALL SELECT 'missing_school_before', round(avg(CAST(school IS NULL AS INTEGER)), 6) FROM b
+UNION ALL SELECT 'mean_age_before', round(avg(age), 6) FROM b
+UNION ALL SELECT 'mean_age_after', round(avg(age), 6) FROM a
+UNION ALL SELECT 'paired', count(*) FROM p
+UNION ALL SELECT 'age_violations', sum(CASE WHEN age2 <> age + 1 THEN 1 ELSE 0 END) FROM p
+UNION ALL SELECT 'moved', round(avg(CAST(school2 <> school AS INTEGER)), 6) FROM p
+"""
+
 
 def _weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User by week: mean value in whole cents, and the first week with a signup of value over 200."""
@@ -380,8 +402,17 @@ UNION ALL SELECT s_suppkey, s_name, s_acctbal, s_nationkey, NULL FROM supplier U
 
 def outcome_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their lines' outcomes and the supplier of the outcome: fan-out stays; status by year."""
+    return _outcomes(spark, sf_dir, table(spark, sf_dir, "lineitem").where("l_quantity >= 49"))
+
+
+def outcome_panel_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same panel with every line as an outcome."""
+    return _outcomes(spark, sf_dir, table(spark, sf_dir, "lineitem"))
+
+
+def _outcomes(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", _year("o_orderdate").alias("year"))
-    outcome = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_returnflag")
+    outcome = lines.select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey", "l_returnflag")
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     rows = panel.outcome_panel(orders, outcome, suppliers, ["o_orderkey"], "l_suppkey")
     return rows.groupBy("year", "l_returnflag").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("orders"), F.count_distinct("s_nationkey").alias("nations"))
@@ -392,6 +423,11 @@ SELECT CAST(year(o_orderdate) AS INTEGER) AS year, l_returnflag, count(*) AS n,
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity >= 49 LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2
 """
 
+OUTCOME_ALL_SQL = """
+SELECT CAST(year(o_orderdate) AS INTEGER) AS year, l_returnflag, count(*) AS n, count(DISTINCT o_orderkey) AS orders, count(DISTINCT s_nationkey) AS nations
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2
+"""
+
 
 def participation_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers per year: eligible are those with a large order, participating those with an urgent one."""
@@ -433,12 +469,14 @@ QUERIES = {
     "q17_backcast": backcast,
     "q18_replication_checks": replication_checks,
     "q18b_distributions": distributions,
+    "q18c_replication_checks_all": replication_checks_all,
     "q19_never_stops": never_stops,
     "q21_effects": effects,
     "q21b_dynamic_effects": dynamic_effects,
     "q22_classify": classify_names,
     "q23_stacked_sources": stacked_sources,
     "q26_outcome_panel": outcome_panel,
+    "q26b_outcome_panel_all": outcome_panel_all,
     "q27_participation_by_year": participation_by_year,
     "q28_schema": schema_rows,
 }
@@ -460,12 +498,14 @@ ORACLE_SQL = {
     "q17_backcast": BACKCAST_SQL,
     "q18_replication_checks": CHECKS_SQL,
     "q18b_distributions": DISTRIBUTION_SQL,
+    "q18c_replication_checks_all": CHECKS_ALL_SQL,
     "q19_never_stops": NEVER_SQL,
     "q21_effects": EFFECTS_SQL,
     "q21b_dynamic_effects": DYNAMIC_SQL,
     "q22_classify": CLASSIFY_SQL,
     "q23_stacked_sources": STACKED_SQL,
     "q26_outcome_panel": OUTCOME_SQL,
+    "q26b_outcome_panel_all": OUTCOME_ALL_SQL,
     "q27_participation_by_year": PARTICIPATION_SQL,
     "q28_schema": SCHEMA_SQL,
 }
