@@ -111,7 +111,7 @@ def posteriors(counts: dict[int, int], voters: int = len(VOTERS), rounds: int =
 
 def shape(word: str) -> str:
     """The word with runs of letters as A, a, or Aa, and runs of digits as 0; runs of other characters lose repeats."""
-    letters = re.sub(r"[^\W\d_]+", lambda m: "A" if m.group().isupper() else "a" if m.group().islower() else "Aa", word[:64])
+    letters = re.sub(r"[^\W\d_]+", lambda m: "A" if m.group().isupper() else "a" if m.group().islower() else "Aa", word)
     return re.sub(r"([^\w])\1+", r"\1", re.sub(r"\d+", "0", letters))
 
 

@@ -48,3 +48,12 @@ def test_edge_cases(spark):
     assert [r["doc_id"] for r in out] == [1, 1, None, 2, 3] and out[0]["score"] == out[1]["score"] == out[2]["score"]
     assert all(0 <= r["score"] <= 1 for r in out)
     assert qc.classify(docs.limit(0), *qc.fit(docs.limit(0))).collect() == []
+
+
+def test_shape_of_a_long_word_is_that_of_all_of_it():
+    assert qc.shape("a" * 64 + "9") == "a0" and qc.shape("A" * 64 + "b!!") == "Aa!"
+    one, other = "x" * 80, "x" * 80 + "7" * 2000
+    assert qc.features(one)[1] != qc.features(other)[1]
+    s = qc.Scorer()
+    s.weights[qc.features(other)[1]] = 3.0
+    assert s.score(other) > s.score(one) == 0.5
