@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One text, that of the least id, of each group of near copies."""
+    """One text, that of the least id, of each group that the rule of ``op1_simhash`` links: three-word shingles, three differing bits at most."""
     return simhash.deduplicate(docs)
 
 
