@@ -61,9 +61,11 @@ def flag(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
-def distinct_with_null(x: Column) -> Column:
-    """Number of distinct values, null counting as one."""
-    return (F.count_distinct(x) + F.max(x.isNull().cast("int"))).cast("long")
+def distinct_with_null(x: Column, where: Column | None = None) -> Column:
+    """Number of distinct values, null counting as one, of all rows or of those that fulfil a condition."""
+    if where is None:
+        where = F.lit(True)
+    return (F.count_distinct(F.when(where, x)) + F.max(flag(where & x.isNull()))).cast("long")
 
 
 #: Tokens that stand for a missing id.

@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from panelweave.operators.relational import distinct_on
 
-def asof_window(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, right_at: str, values: Sequence[str], tie: Sequence[str] = (), slice_of=None) -> DataFrame:
+
+def by_month(at: Column) -> Column:
+    return F.trunc(at.cast("date"), "month")
+
+
+def by_thousand(at: Column) -> Column:
+    return F.floor(at / 1000)
+
+
+def asof_window(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, right_at: str, values: Sequence[str], tie: Sequence[str] = (), slice_of: Callable[[Column], Column] | None = by_month) -> DataFrame:
     """``left`` with the ``values`` of the latest right row of the same keys with ``right_at < at``; null without one.
 
     One union and one window: nothing multiplies. Of right rows at one time the
     last by ``tie`` counts, then by the values. Null keys or times match nothing.
 
     A key with very many rows is cut in time: ``slice_of`` maps a time column to a
-    coarser one (say a month). Windows then run per key and slice, and the last
-    row of the slices before is carried in over one row per slice.
+    coarser one (by default the month of a time, the thousand of a number; none
+    where it is None). Windows then run per key and slice, and the last row of the
+    slices before is carried in over one row per slice.
     """
+    if slice_of is by_month and isinstance(left.schema[at].dataType, T.NumericType):
+        slice_of = by_thousand
     payload = F.struct(F.col(right_at).alias("_t"), *[F.col(c).alias(f"_tie{i}") for i, c in enumerate(tie)], *[F.col(c).alias(c) for c in values])
     latest = right.dropna(subset=[*keys, right_at]).groupBy(*keys, F.col(right_at).alias("_at")).agg(F.max(payload).alias("_value"))
     rows = left.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in left.columns])).select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), "_row")
@@ -51,8 +64,14 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, r
     return best.select(*left.columns, *[F.col(f"_value.{c}").alias(c) for c in values])
 
 
-def course_ranking(entrants: DataFrame, groups: Sequence[str], score: str = "mean_score", via: str | None = None) -> DataFrame:
-    """Per group the mean score (unmatched entrants do not enter it), all entrants, and those with ``via`` = 1."""
+def course_ranking(entrants: DataFrame, groups: Sequence[str], score: str = "mean_score", via: str | None = None, key: Sequence[str] = ()) -> DataFrame:
+    """Per group the mean score (unmatched entrants do not enter it), all entrants, and those with ``via`` = 1.
+
+    With ``key`` (say person, year of entry, institution and course) an entrant
+    that comes in several rows counts once: the least row stays.
+    """
+    if key:
+        entrants = distinct_on(entrants, key)
     out = [F.avg(score).alias("mean_score"), F.count("*").alias("n_entrants"), F.count(score).alias("n_scored")]
     if via:
         out.append(F.sum(F.when(F.col(via) == 1, 1).otherwise(0)).cast("long").alias("n_via_exam"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from panelweave.functions.columns import count_if, ratio
-from panelweave.functions.text import first_initial, first_word, jaro_possible, jaro_similarity
+from panelweave.functions.text import first_initial, first_word, jaro_possible, jaro_similarity, length_bands, letters
 from panelweave.operators.relational import suffix_join
 
 
@@ -64,18 +64,20 @@ def candidate_pairs(left: DataFrame, right: DataFrame, block: Sequence[str], id:
 def link_fuzzy(left: DataFrame, right: DataFrame, block: Sequence[str], id: str = "id", name: str = "name", least: float = 0.9) -> DataFrame:
     """Best right id per left id among blocked pairs of similarity ``least`` or more (ties: the least id).
 
-    Names are compared once: the blocks are joined over distinct names, each
-    distinct pair is scored once, and only then are ids attached, so a name or
-    block that very many rows share multiplies nothing before the scores cut it
-    down. One right id may serve several left ids.
+    The blocks are joined over distinct names, and within bands of length, so
+    names whose lengths differ too much never meet. Pairs that the letters in common
+    rule out go at once, natively; the others are scored where they arise, and only
+    the best by name is shuffled. Ids are attached last, so a name that very many
+    rows share multiplies nothing. One right id may serve several left ids.
     """
     a = left.where(F.length(name) > 0).groupBy(*block, F.col(name).alias("name_left")).agg(F.lit(1).alias("_a"))
     b = right.where(F.length(name) > 0).groupBy(*block, F.col(name).alias("name_right")).agg(F.min(id).alias("id_right"))
-    pairs = a.join(b, list(block)).where(jaro_possible(F.col("name_left"), F.col("name_right"), least))
-    # the same pair of names in many blocks is scored once
-    scored = pairs.select("name_left", "name_right").distinct()
-    scored = scored.withColumn("similarity", jaro_similarity("name_left", "name_right")).where(F.col("similarity") >= least)
-    kept = pairs.join(scored, ["name_left", "name_right"])
+    band, near = length_bands(F.col("name_left"), least)[0], length_bands(F.col("name_right"), least)[1]
+    a = a.select(*block, "name_left", letters(F.col("name_left")).alias("_la"), band.alias("_band"))
+    b = b.select(*block, "name_right", "id_right", letters(F.col("name_right")).alias("_lb"), F.explode(near).alias("_band"))
+    pairs = a.join(b, [*block, "_band"]).where(jaro_possible(F.col("name_left"), F.col("name_right"), least, F.col("_la"), F.col("_lb")))
+    pairs = pairs.select(*block, "name_left", "name_right", "id_right")
+    kept = pairs.withColumn("similarity", jaro_similarity("name_left", "name_right")).where(F.col("similarity") >= least)
     rank = F.struct((-F.col("similarity")).alias("s"), F.col("id_right").alias("id_right"), F.col("name_right").alias("n"))
     best = kept.groupBy(*block, "name_left").agg(F.min(rank).alias("_best"))
     rows = left.where(F.length(name) > 0).select(F.col(id).alias("id_left"), F.col(name).alias("name_left"), *block)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from panelweave.functions.columns import code_in, distinct_with_null, flag, left_except_last, ratio
+from panelweave.functions.columns import code_in, distinct_with_null, flag, left_except_last, ratio, share
 from panelweave.operators.relational import mark_join, null_safe_join
 
 
@@ -20,29 +21,72 @@ def first_period(df: DataFrame, entity: Sequence[str], period: str, dummy: str,
     return df.groupBy(*entity).agg(F.min(F.when(F.col(dummy) == 1, F.col(period))).alias(out))
 
 
+#: Periods that one slice of an entity's timeline covers, where a period is a number.
+SLICE = 64
+
+
+def _slice(df: DataFrame, period: str) -> Column:
+    """A coarser period, so that an entity with very many rows is many tasks' work."""
+    kind = df.schema[period].dataType
+    if isinstance(kind, T.NumericType):
+        return F.floor(F.col(period) / SLICE)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.trunc(F.col(period).cast("date"), "month")
+    return F.lit(0)
+
+
+def _carried(rows: DataFrame, entity: Sequence[str], slices: DataFrame) -> DataFrame:
+    """``rows`` with what the slices before carry into theirs; null entities are entities like any other."""
+    names = {k: f"_on{i}" for i, k in enumerate([*entity, "_slice"])}
+    on = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(F.col(n)) for k, n in names.items()])
+    return rows.join(slices.withColumnsRenamed(names), on, "left").drop(*names.values())
+
+
+def in_order(df: DataFrame, entity: Sequence[str], period: str, value: str) -> DataFrame:
+    """``entity, period, value`` with ``_rn`` (place in the entity's timeline, from 1) and ``_before`` (the value before), and ``_slice``, ``_own`` (place in the slice).
+
+    Windows run per entity and slice of time; one row per slice carries the count
+    and the last value on. So no entity's rows meet in one task.
+    """
+    rows = df.select(*entity, period, value, _slice(df, period).alias("_slice"))
+    own = Window.partitionBy(*entity, "_slice").orderBy(period, value)
+    rows = rows.withColumns({"_own": F.row_number().over(own), "_lag": F.lag(value).over(own)})
+    slices = rows.groupBy(*entity, "_slice").agg(F.count("*").alias("_n"), F.max_by(value, "_own").alias("_last"))
+    across = Window.partitionBy(*entity).orderBy("_slice")
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select(*entity, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"), F.lag("_last").over(across).alias("_carry"))
+    rows = _carried(rows, entity, slices)
+    before = F.when(F.col("_own") == 1, F.col("_carry")).otherwise(F.col("_lag"))
+    return rows.select(*entity, period, value, "_slice", "_own", (F.col("_own") + F.col("_offset")).alias("_rn"), before.alias("_before"))
+
+
 def histories(df: DataFrame, entity: Sequence[str], period: str, dummy: str) -> DataFrame:
     """Per entity: ``periods``, ``ever``, ``first_on``, ``stops`` (changes from 1 to 0), ``first_spell`` (periods of the first run of 1).
 
     The run counts observed rows: a missing period is no gap, two rows in one
-    period are two places. One window over the entity's rows in order, then one
-    aggregate; no arrays.
+    period are two places. The first run ends at the first 0 after the first 1. All
+    comes from one row per slice of time, so no entity's rows meet in one task.
     """
-    order = Window.partitionBy(*entity).orderBy(period, dummy)
-    on = F.col(dummy) == 1
-    rows = df.select(*entity, period, dummy, F.row_number().over(order).alias("_rn"), F.lag(dummy).over(order).alias("_before"))
-    # rows before the first 1 have an empty running maximum
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_ever", F.max(F.when(on, 1)).over(running))
-    out = rows.groupBy(*entity).agg(
-        F.count("*").alias("periods"),
-        F.max(flag(on)).alias("ever"),
-        F.min(F.when(on, F.col(period))).alias("first_on"),
-        F.sum(flag((F.col("_before") == 1) & (F.col(dummy) == 0))).cast("long").alias("stops"),
-        F.min(F.when(on, F.col("_rn"))).alias("_first"),
-        F.min(F.when((F.col("_ever") == 1) & (F.col(dummy) == 0), F.col("_rn"))).alias("_end"),
+    on, off = F.col(dummy) == 1, F.col(dummy) == 0
+    own = Window.partitionBy(*entity, "_slice").orderBy("_own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = in_order(df, entity, period, dummy).withColumn("_had", F.max(flag(on)).over(own))
+    slices = rows.groupBy(*entity, "_slice").agg(
+        F.count("*").alias("n"),
+        F.max(flag(on)).alias("on"),
+        F.min(F.when(on, F.col(period))).alias("when"),
+        F.sum(flag((F.col("_before") == 1) & off)).cast("long").alias("stops"),
+        F.min(F.when(on, F.col("_rn"))).alias("first"),
+        F.min(F.when(off, F.col("_rn"))).alias("zero"),
+        F.min(F.when(off & (F.col("_had") == 1), F.col("_rn"))).alias("zero_after"),
     )
-    spell = F.coalesce(F.col("_end"), F.col("periods") + 1) - F.col("_first")
-    return out.withColumn("first_spell", spell.cast("long")).drop("_first", "_end")
+    slices = slices.withColumn("start", F.min("first").over(Window.partitionBy(*entity)))
+    # in the slice of the first 1 a 0 must follow it; in later slices any 0 does
+    end = F.when(F.col("first") == F.col("start"), F.col("zero_after")).when(F.col("zero") > F.col("start"), F.col("zero"))
+    out = slices.groupBy(*entity).agg(
+        F.sum("n").alias("periods"), F.max("on").alias("ever"), F.min("when").alias("first_on"), F.sum("stops").alias("stops"), F.min("start").alias("_start"), F.min(end).alias("_end")
+    )
+    spell = F.coalesce(F.col("_end"), F.col("periods") + 1) - F.col("_start")
+    return out.select(*entity, "periods", "ever", "first_on", "stops", spell.cast("long").alias("first_spell"))
 
 
 def ordered_series(df: DataFrame, entity: Sequence[str], period: str, value: str, out: str = "series") -> DataFrame:
@@ -52,22 +96,34 @@ def ordered_series(df: DataFrame, entity: Sequence[str], period: str, value: str
 
 
 def runs(df: DataFrame, entity: Sequence[str], period: str, value: str) -> DataFrame:
-    """Run-length encoding: ``run`` (from 1), ``value``, ``length``, ``start``, ``stop`` per entity."""
-    order = Window.partitionBy(*entity).orderBy(period, value)
-    step = df.select(*entity, period, value, (~F.col(value).eqNullSafe(F.lag(value).over(order)) | (F.row_number().over(order) == 1)).cast("int").alias("_new"))
-    step = step.withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return step.groupBy(*entity, "run").agg(F.first(value).alias("value"), F.count("*").alias("length"), F.min(period).alias("start"), F.max(period).alias("stop"))
+    """Run-length encoding: ``run`` (from 1), ``value``, ``length``, ``start``, ``stop`` per entity. Runs go on across slices of time."""
+    new = (~F.col(value).eqNullSafe(F.col("_before")) | (F.col("_rn") == 1)).cast("int")
+    step = in_order(df, entity, period, value).withColumn("_new", new)
+    own = Window.partitionBy(*entity, "_slice").orderBy("_own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = step.withColumn("_run", F.sum("_new").over(own))
+    earlier = Window.partitionBy(*entity).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = step.groupBy(*entity, "_slice").agg(F.sum("_new").alias("_n"))
+    slices = slices.select(*entity, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_runs"))
+    step = _carried(step, entity, slices).withColumn("run", F.col("_run") + F.col("_runs"))
+    return step.groupBy(*entity, "run").agg(F.max(value).alias("value"), F.count("*").alias("length"), F.min(period).alias("start"), F.max(period).alias("stop"))
 
 
 def spell_group(length: Column) -> Column:
-    """Group of a first spell's length; null for none."""
-    return F.when(length == 1, "1").when(length == 2, "2").when(length == 3, "3").when(length >= 4, "4+")
+    """Group of a first spell's length: one period, two, three or more; null for none."""
+    return F.when(length == 1, "1").when(length == 2, "2").when(length >= 3, "3+")
+
 
+def cohort_shares(history: DataFrame, cohort: str = "first_on") -> DataFrame:
+    """Per period of first treatment: entities, and the shares whose first spell lasts one, two, and three or more periods."""
+    spell = F.col("first_spell")
+    kinds = {"share_1": spell == 1, "share_2": spell == 2, "share_3_or_more": spell >= 3}
+    return history.where(F.col(cohort).isNotNull()).groupBy(cohort).agg(F.count("*").alias("entities"), *[share(c).alias(n) for n, c in kinds.items()])
 
-def cohort_shares(history: DataFrame, cohort: str = "first_on", most: int = 3) -> DataFrame:
-    """Per cohort of first treatment: entities, and the shares with at least 1 to ``most`` stops."""
-    shares = [F.avg((F.col("stops") >= k).cast("double")).alias(f"share_stops_{k}") for k in range(1, most + 1)]
-    return history.where(F.col(cohort).isNotNull()).groupBy(cohort).agg(F.count("*").alias("entities"), *shares)
+
+def stop_shares(history: DataFrame, most: int = 3) -> DataFrame:
+    """One row: entities that were ever treated, and the shares of them with at least 1 to ``most`` stops."""
+    shares = [share(F.col("stops") >= k).alias(f"share_stops_{k}") for k in range(1, most + 1)]
+    return history.where("ever = 1").agg(F.count("*").alias("entities"), *shares)
 
 
 def never_stops(df: DataFrame, entity: Sequence[str], period: str, dummy: str) -> DataFrame:
@@ -125,10 +181,15 @@ def join_by_short_key(df: DataFrame, other: DataFrame, key: str, short: str, ext
     return coded.join(named, ["_short", *extra]).withColumnRenamed("_short", short)
 
 
-def shares_by_period(df: DataFrame, period: str, eligible: Column, took_part: Column) -> DataFrame:
-    """Per period: rows, eligible, participating, and the participating share of the eligible in percent."""
-    out = df.groupBy(period).agg(F.count("*").alias("rows"), F.sum(flag(eligible)).cast("long").alias("eligible"), F.sum(flag(took_part)).cast("long").alias("participating"))
-    return out.withColumn("percent", 100 * ratio(F.col("participating"), F.col("eligible")))
+def shares_by_period(df: DataFrame, entity: str, period: str, eligible: Column, took_part: Column) -> DataFrame:
+    """Per period the distinct eligible entities (null counting as one), those of them that took part, and these in percent.
+
+    Several rows of one entity count once. A period without an eligible entity does
+    not appear; where none took part, that number and the share are null.
+    """
+    both = eligible & took_part
+    out = df.groupBy(period).agg(distinct_with_null(F.col(entity), eligible).alias("eligible"), F.nullif(distinct_with_null(F.col(entity), both), F.lit(0)).alias("participating"))
+    return out.where("eligible > 0").withColumn("percent", 100 * ratio(F.col("participating"), F.col("eligible")))
 
 
 def outcome_panel(enrolment: DataFrame, outcome: DataFrame, schools: DataFrame, keys: Sequence[str], school: str) -> DataFrame:

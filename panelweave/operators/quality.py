@@ -55,20 +55,35 @@ def checks(metrics: Mapping[str, tuple[DataFrame, Column]]) -> DataFrame:
     return out
 
 
-def replication_checks(before: DataFrame, after: DataFrame, person: str, school: str, stage: str, age: str) -> DataFrame:
-    """The standard checks of a back-cast against the year it comes from, as ``check, value``."""
-    a = after.select(person, F.col(school).alias("_school"), F.col(age).alias("_age"))
-    pairs = before.select(person, school, stage, age).join(a, person)
-    rate = lambda c: F.avg(c.cast("double"))
-    return checks(
-        {
-            "rows_before": (before, F.count("*")),
-            "rows_after": (after, F.count("*")),
-            "missing_school_before": (before, rate(F.col(school).isNull())),
-            "mean_age_before": (before, F.avg(age)),
-            "mean_age_after": (after, F.avg(age)),
-            "paired": (pairs, F.count("*")),
-            "age_violations": (pairs, F.sum(F.when(F.col("_age") != F.col(age) + 1, 1).otherwise(0))),
-            "moved": (pairs, rate(F.col("_school") != F.col(school))),
-        }
-    )
+def replication_checks(before: DataFrame, after: DataFrame, person: str, school: str, stage: str, age: str, state: str | None = None) -> DataFrame:
+    """The standard checks of a back-cast against the year it comes from, as ``check, value``.
+
+    Rows, missing schools, mean ages, persons in both years, ages that do not fit,
+    and the share that moved; per stage the rows of either year and the share with a
+    school (``rows_before:9``, ``match_rate:9``; a null stage is ``null``). With
+    ``state`` also missing states and the share that moved between states.
+    """
+    kept = [school, age, *([state] if state else [])]
+    a = after.select(F.col(person).alias("_person"), *[F.col(c).alias(f"_{c}") for c in kept])
+    pairs = before.select(person, *kept).join(a, F.col(person) == F.col("_person"))
+    other = lambda c: F.col(f"_{c}") != F.col(c)
+    metrics = {
+        "rows_before": (before, F.count("*")),
+        "rows_after": (after, F.count("*")),
+        "missing_school_before": (before, share(F.col(school).isNull())),
+        "mean_age_before": (before, F.avg(age)),
+        "mean_age_after": (after, F.avg(age)),
+        "paired": (pairs, F.count("*")),
+        "age_violations": (pairs, F.sum(F.when(F.col(f"_{age}") != F.col(age) + 1, 1).otherwise(0))),
+        "moved": (pairs, share(other(school))),
+    }
+    if state:
+        metrics["missing_state_before"] = (before, share(F.col(state).isNull()))
+        metrics["moved_state"] = (pairs, share(other(state)))
+    out = checks(metrics)
+    name = lambda kind: F.concat(F.lit(f"{kind}:"), F.coalesce(F.col(stage).cast("string"), F.lit("null")))
+    own = before.groupBy(stage).agg(F.count("*").cast("double").alias("n"), share(F.col(school).isNotNull()).alias("rate"))
+    later = after.groupBy(stage).agg(F.count("*").cast("double").alias("n"))
+    for rows, kind, value in ((own, "rows_before", "n"), (own, "match_rate", "rate"), (later, "rows_after", "n")):
+        out = out.unionByName(rows.select(name(kind).alias("check"), F.col(value).alias("value")))
+    return out

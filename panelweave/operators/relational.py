@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from panelweave.session import materialise
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -56,18 +58,25 @@ def full_merge(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     return reduce(lambda a, b: null_safe_join(a, b, keys, "full"), frames)
 
 
+def _looked_up(df: DataFrame, values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` left-joined to ``values``, whose keys are ``_key0`` and so on; null keys match each other."""
+    on = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    return df.join(values, on, "left")
+
+
 def mark_join(df: DataFrame, members: DataFrame, keys: Sequence[str], flag: str) -> DataFrame:
-    """``df`` with 1 where its keys are among ``members``, else 0."""
-    marks = members.select(*keys).distinct().withColumn("_mark", F.lit(1))
-    return df.join(marks, list(keys), "left").withColumn(flag, F.coalesce("_mark", F.lit(0))).drop("_mark").select(*df.columns, flag)
+    """``df`` with 1 where its keys are among ``members``, else 0. A null key is among them if they hold a null key."""
+    marks = members.select(*[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)]).distinct().withColumn("_mark", F.lit(1))
+    out = _looked_up(df, marks, keys).withColumn(flag, F.coalesce("_mark", F.lit(0)))
+    return out.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*df.columns, flag])])
 
 
 def update_join(df: DataFrame, other: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """``df`` with ``column`` replaced by the other side's value where the keys match (one value per key: the least)."""
-    values = other.groupBy(*keys).agg(F.min(column).alias("_new"), F.lit(True).alias("_there"))
-    out = df.join(values, list(keys), "left")
-    now = F.col(column) if column in df.columns else F.lit(None)
-    return out.withColumn(column, F.when(F.col("_there"), F.col("_new")).otherwise(now)).drop("_new", "_there").select(*dict.fromkeys([*df.columns, column]))
+    """``df`` with ``column`` replaced by the other side's value where the keys match, null keys matching each other (one value per key: the least)."""
+    values = other.groupBy(*[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.min(f"`{column}`").alias("_new"), F.lit(True).alias("_there"))
+    now = F.col(f"`{column}`") if column in df.columns else F.lit(None)
+    out = _looked_up(df, values, keys).withColumn(column, F.when(F.col("_there"), F.col("_new")).otherwise(now))
+    return out.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*df.columns, column])])
 
 
 def duplicated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -107,9 +116,32 @@ def sample_n(df: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def shares_within(counts: DataFrame, group: Sequence[str], n: str = "n", out: str = "share") -> DataFrame:
-    """Counts as shares of their group's total (totals by an aggregate joined back)."""
-    totals = counts.groupBy(*group).agg(F.sum(n).alias("_total"))
-    return counts.join(totals, list(group)).withColumn(out, F.col(n).cast("double") / F.col("_total")).drop("_total")
+    """Counts as shares of their group's total (totals by an aggregate joined back); null is a group like any other."""
+    totals = counts.groupBy(*[F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(group)]).agg(F.sum(n).alias("_total"))
+    return _looked_up(counts, totals, group).withColumn(out, F.col(n).cast("double") / F.col("_total")).select(*dict.fromkeys([*counts.columns, out]))
+
+
+def row_numbers(df: DataFrame, order: Sequence[str], out: str = "row") -> DataFrame:
+    """``df`` with the number of each row, from 1, in this order over all rows.
+
+    No window over the whole table: rows are dealt by range and sorted, each part
+    is numbered by itself, and the number of rows in the parts before is added.
+    Rows that tie in ``order`` are told apart by all other columns; equal rows get
+    different numbers. The numbered parts are written once, so numbers are certain.
+    """
+    rest = [c for c in df.columns if c not in order]
+    ranged = df.orderBy(*[F.col(f"`{c}`") for c in [*order, *_orderable(df, rest)]]).withColumn("_at", F.monotonically_increasing_id())
+    ranged = materialise(ranged, "row-numbers")
+    part = F.shiftright("_at", 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))  # a row per part
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    rows = ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return rows.withColumn(out, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1 + F.col("_offset")).select(*dict.fromkeys([*df.columns, out]))
+
+
+def _orderable(df: DataFrame, names: Iterable[str]) -> list[str]:
+    return [c for c in names if df.schema[c].dataType.typeName() not in ("map", "variant")]
 
 
 def order_numeric(x: Column) -> list[Column]:

@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import os
 import shutil
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +38,17 @@ RUN = uuid.uuid4().hex
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset and all runs on one machine (tests), a temporary folder that
+    goes with the process; on a cluster that is an error, as executors would write
+    to their own disks.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = os.environ.get("PANELWEAVE_SHARED")
         if not folder:
             folder = os.environ["PANELWEAVE_SHARED"] = tempfile.mkdtemp(prefix="panelweave-")
@@ -46,17 +56,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _forget(folder: str) -> None:
-    shutil.rmtree(folder, ignore_errors=True)
+def _deleter(spark: SparkSession, folder: str) -> Callable[[], None]:
+    """What deletes a folder on whatever file system it is, even when the session has been stopped."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return lambda: files.delete(path, True)
+
+
+def _forget(delete: Callable[[], None]) -> None:
+    try:
+        delete()
+    except Exception as error:  # the process ends: tell, and let the others be deleted too
+        print(f"intermediate tables stay: {error}", file=sys.stderr)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. Where that is a local folder, it goes when the process ends."""
+    """A new path in the shared folder. What this process has written there goes when it ends, on any file system."""
     folder = f"{shared_dir(spark)}/panelweave-{RUN}"
-    local = folder.removeprefix("file://")
-    if local.startswith("/") and local not in _known:
-        _known.add(local)
-        atexit.register(_forget, local)
+    if folder not in _known:
+        _known.add(folder)
+        atexit.register(_forget, _deleter(spark, folder))
     return f"{folder}/{uuid.uuid4().hex}/{name}"
 
 
@@ -73,13 +92,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._panelweave_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what :func:`materialise` wrote for ``df``, when nothing that is still to be computed rests on it."""
+    _deleter(df.sparkSession, df._panelweave_path)()
 
 
 def clear_shared(spark: SparkSession) -> None:
     """Delete all that this process has written by ``materialise``. Only when no result that rests on it is still to be computed."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/panelweave-{RUN}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _deleter(spark, f"{shared_dir(spark)}/panelweave-{RUN}")()
 
 
 def importable(spark: SparkSession) -> None:

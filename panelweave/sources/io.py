@@ -127,6 +127,12 @@ def register(spark: SparkSession, **frames: DataFrame) -> Callable[[], None]:
     return drop
 
 
+def keep_local(spark: SparkSession, rows: Sequence[tuple], schema: str, path: str) -> DataFrame:
+    """A frame of the driver, kept as a table: written (an older one is replaced) and read back, so that it outlives the session."""
+    write_any(spark.createDataFrame(list(rows), schema), path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     """A typed relation without rows."""
     return spark.createDataFrame([], schema)

@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +73,10 @@ def test_jaro_is_duckdbs():
     con.executemany("INSERT INTO p VALUES (?, ?, ?)", [(i, a, b) for i, (a, b) in enumerate(pairs)])
     want = [r[0] for r in con.execute("SELECT jaro_similarity(a, b) FROM p ORDER BY i").fetchall()]
     assert all(abs(text.jaro(a, b) - w) < 1e-12 for (a, b), w in zip(pairs, want))
+    odd = [("ß" * 5 + "𝄞x", "x𝄞ß"), ("a" * 300, "a" * 299 + "b"), ("\0", "a")]
+    batch = text.jaro_batch(*map(list, zip(*pairs, *odd)))
+    assert np.allclose(batch, [text.jaro(a, b) for a, b in [*pairs, *odd]], atol=1e-12)
+    assert text.jaro_batch([], []).tolist() == []
 
 
 def test_length_test_loses_no_pair(spark):
@@ -80,4 +85,10 @@ def test_length_test_loses_no_pair(spark):
     df = spark.createDataFrame(pairs, "a string, b string").where(text.jaro_possible(F.col("a"), F.col("b"), 0.9))
     kept = {tuple(r) for r in df.collect()}
     assert all(p in kept for p in pairs if text.jaro(*p) >= 0.9)
+    for least in (0.9, 0.75, 0.6):
+        a, b = F.col("a"), F.col("b")
+        df = spark.createDataFrame(pairs, "a string, b string")
+        close = df.where(text.jaro_possible(a, b, least, text.letters(a), text.letters(b)) & F.array_contains(text.length_bands(b, least)[1], text.length_bands(a, least)[0]))
+        kept = {tuple(r) for r in close.collect()}
+        assert all(p in kept for p in pairs if text.jaro(*p) >= least)
     assert spark.createDataFrame([("a", None), (None, None), ("ab", "ab")], "a string, b string").select(text.jaro_similarity("a", "b").alias("s")).collect()[0]["s"] is None

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelweave.functions.text import jaro
@@ -89,15 +90,14 @@ def local_components(edges):
     return sorted(((n, find(n)) for n in root), key=repr)
 
 
-def test_components_against_union_find(spark, monkeypatch):
+def test_components_against_union_find(spark):
     rng = random.Random(9)
     chain = [(1000 + i, 1001 + i) for i in range(120)]
     star = [(5000, 5001 + i) for i in range(80)]
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + chain + star + [(7, 7), (None, 3), (2000, 2001), (2001, 2000)]
     df = spark.createDataFrame(edges, "a long, b long")
     assert rows(graph.connected_components(df)) == local_components(edges)
-    monkeypatch.setattr(graph, "HUB_EDGES", 0)
-    assert rows(graph.connected_components(df)) == local_components(edges)
+    assert rows(graph.connected_components(df, hub_degree=10)) == local_components(edges)
     assert rows(graph.connected_components(df.limit(0))) == []
 
 
@@ -120,8 +120,9 @@ def test_relational_blocks(spark):
     assert rel.distinct_on(df, ["k"]).count() == 3 and rows(rel.distinct_on(df.select("k"), ["k"])) == sorted([("a",), ("b",), (None,)], key=repr)
     other = spark.createDataFrame([("a", "X"), (None, "Y"), ("z", "Z")], "k string, v string")
     assert rows(rel.null_safe_join(df, other.withColumnRenamed("v", "w"), ["k"], "full").select("k", "o", "w")) == sorted([("a", 2, "X"), ("a", 1, "X"), ("b", None, None), (None, 5, "Y"), (None, 4, "Y"), ("z", None, "Z")], key=repr)
-    assert rows(rel.mark_join(df, other, ["k"], "m").select("k", "m")) == sorted([("a", 1), ("a", 1), ("b", 0), (None, 0), (None, 0)], key=repr)
-    assert rows(rel.update_join(df, other, ["k"], "v").select("k", "v")) == sorted([("a", "X"), ("a", "X"), ("b", "r"), (None, "s"), (None, "t")], key=repr)
+    assert rows(rel.mark_join(df, other, ["k"], "m").select("k", "m")) == sorted([("a", 1), ("a", 1), ("b", 0), (None, 1), (None, 1)], key=repr)  # missing ids match each other
+    assert rows(rel.update_join(df, other, ["k"], "v").select("k", "v")) == sorted([("a", "X"), ("a", "X"), ("b", "r"), (None, "Y"), (None, "Y")], key=repr)
+    assert rows(rel.mark_join(df, other.where("k is not null"), ["k"], "o").select("k", "o")) == sorted([("a", 1), ("a", 1), ("b", 0), (None, 0), (None, 0)], key=repr)
     assert rel.duplicated(df, ["k"]).count() == 2
     assert rel.suffix_columns(df, "_x", ["k"]).columns == ["k", "o_x", "v_x"]
     assert rel.columns_between(df, "k", "o") == ["k", "o"] and rel.columns_starting(df, "v") == ["v"]
@@ -132,3 +133,27 @@ def test_relational_blocks(spark):
     assert [tuple(r) for r in rel.cast_columns(ids, ["i"], lambda x: x.try_cast("int")).collect()][0] == (10,)
     out = rel.shares_within(spark.createDataFrame([("g", 1), ("g", 2)], "g string, n int"), ["g"])
     assert dict(out.dtypes)["share"] == "double" and rows(out)[0][2] == 1 / 3
+    missing = rel.shares_within(spark.createDataFrame([(None, 1), (None, 3), ("g", 2)], "g string, n int"), ["g"])
+    assert rows(missing) == sorted([(None, 1, 0.25), (None, 3, 0.75), ("g", 2, 1.0)], key=repr)
+    numbered = rel.row_numbers(spark.range(1000).select((F.col("id") % 7).alias("a"), "id"), ["a"]).collect()
+    want = sorted((i % 7, i) for i in range(1000))
+    assert sorted((r["row"], r["a"], r["id"]) for r in numbered) == [(k, a, i) for k, (a, i) in enumerate(want, 1)]
+
+
+@pytest.mark.parametrize("hub_degree", [0, 50, 10_000])
+def test_hubs_are_split_without_a_change(spark, hub_degree):
+    """A star of 2,500 and one of 400 that a chain joins, a chain of 60, and a lone pair."""
+    pairs = [(5000, i) for i in range(1, 2501)] + [(6000, 3000 + i) for i in range(400)] + [(5000, 7000), (7000, 6000)] + [(9000 + i, 9001 + i) for i in range(60)] + [(20000, 20001)]
+    df = spark.createDataFrame(pairs, "a int, b int")
+    found = {r["node"]: r["root"] for r in graph.connected_components(df, hub_degree=hub_degree).collect()}
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        low, high = sorted((root(a), root(b)))
+        up[high] = low
+    assert found == {x: root(x) for x in up}

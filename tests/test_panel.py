@@ -25,9 +25,9 @@ def test_histories(spark):
     assert rows(found, "school", "periods", "ever", "first_on", "stops", "first_spell") == sorted(want, key=repr)
     assert rows(panel.never_stops(series(spark), ["school"], "year", "x")) == [(1, False), (2, False), (3, True), (4, False), (5, True)]
     groups = found.select("school", panel.spell_group(F.col("first_spell")).alias("g"))
-    assert rows(groups) == [(1, "2"), (2, None), (3, "3"), (4, "1"), (5, "1")]
-    shares = {r["first_on"]: (r["entities"], r["share_stops_1"], r["share_stops_2"]) for r in panel.cohort_shares(found).collect()}
-    assert shares == {2006: (2, 0.5, 0.5), 2005: (2, 0.5, 0.0)}
+    assert rows(groups) == [(1, "2"), (2, None), (3, "3+"), (4, "1"), (5, "1")]
+    assert rows(panel.cohort_shares(found)) == [(2005, 2, 0.5, 0.0, 0.5), (2006, 2, 0.5, 0.5, 0.0)]
+    assert rows(panel.stop_shares(found)) == [(4, 0.5, 0.25, 0.0)]
     assert rows(panel.first_period(series(spark), ["school"], "year", "x")) == sorted([(1, 2006), (2, None), (3, 2005), (4, 2005), (5, 2006)], key=repr)
     assert rows(panel.ordered_series(series(spark), ["school"], "year", "x")) == sorted([(k, v) for k, v in SERIES.items()], key=repr)
     lengths = [r["length"] for r in panel.runs(series(spark), ["school"], "year", "x").where("school = 1").orderBy("run").collect()]
@@ -105,8 +105,11 @@ def test_quality(spark):
     assert rows(quality.duplication_classes(e, ["p"], "y")) == [(2005, "1", 1, 0.5), (2005, "2", 1, 0.5), (2006, "3+", 1, 1.0)]
     assert rows(quality.distribution(e, ["y"], "s"))[0] == (2005, 7, 2, 2 / 3) and rows(quality.distribution(e, [], "s"))[0] == (7, 5, 5 / 6)
     before = spark.createDataFrame([(1, 5, 1, 10), (2, None, 1, 11), (3, 6, 1, 12)], "p int, school int, stage int, age int")
-    after = spark.createDataFrame([(1, 5, 11), (2, 7, 12), (3, 8, 12)], "p int, school int, age int")
+    after = spark.createDataFrame([(1, 5, 2, 11), (2, 7, 2, 12), (3, 8, 2, 12)], "p int, school int, stage int, age int")
     found = {r["check"]: r["value"] for r in quality.replication_checks(before, after, "p", "school", "stage", "age").collect()}
+    assert found["rows_before:1"] == 3 and found["match_rate:1"] == pytest.approx(2 / 3) and found["rows_after:2"] == 3
+    found |= {r["check"]: r["value"] for r in quality.replication_checks(before.withColumn("s", F.nullif("p", F.lit(1))), after.withColumn("s", F.lit(2)), "p", "school", "stage", "age", "s").collect()}
+    assert found["moved_state"] == 0.5 and found["missing_state_before"] == pytest.approx(1 / 3)
     assert found["age_violations"] == 1 and found["moved"] == 0.5 and found["missing_school_before"] == pytest.approx(1 / 3) and found["paired"] == 3
 
 
@@ -123,6 +126,7 @@ def did_rows(seed=1, units=300):
 
 
 def plain_cell(data, g, t, covariates):
+    """Effect and standard error of a cell, from the influence function of each unit."""
     by = {(u, s): (y, own, x) for u, s, y, own, *x in data}
     d, dy, xs = [], [], []
     for (u, s), (y, own, _) in by.items():
@@ -134,8 +138,11 @@ def plain_cell(data, g, t, covariates):
             dy.append(y - y0)
             xs.append([1.0, *x0])
     d, dy, xs = map(np.array, (d, dy, xs))
+    n = len(d)
     if not covariates:
-        return dy[d == 1].mean() - dy[d == 0].mean()
+        m1, m0 = dy[d == 1].mean(), dy[d == 0].mean()
+        psi = d / d.mean() * (dy - m1) - (1 - d) / (1 - d).mean() * (dy - m0)
+        return m1 - m0, np.sqrt((psi**2).mean() / n)
     beta = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-xs @ beta))
@@ -143,7 +150,12 @@ def plain_cell(data, g, t, covariates):
     gamma = np.linalg.lstsq(xs[d == 0], dy[d == 0], rcond=None)[0]
     p, r = 1 / (1 + np.exp(-xs @ beta)), dy - xs @ gamma
     w0 = np.where(d == 0, p / (1 - p), 0.0)
-    return (d * r).sum() / d.sum() - (w0 * r).sum() / w0.sum()
+    a1, a0 = (d * r).sum() / d.sum(), (w0 * r).sum() / w0.sum()
+    by_outcome = ((1 - d) * r)[:, None] * xs @ np.linalg.inv((xs * (1 - d)[:, None]).T @ xs / n)
+    by_chance = (d - p)[:, None] * xs @ np.linalg.inv((xs * (p * (1 - p))[:, None]).T @ xs / n)
+    treat = (d * (r - a1) - by_outcome @ (d[:, None] * xs).mean(0)) / d.mean()
+    control = (w0 * (r - a0) + by_chance @ ((w0 * (r - a0))[:, None] * xs).mean(0) - by_outcome @ (w0[:, None] * xs).mean(0)) / w0.mean()
+    return a1 - a0, np.sqrt(((treat - control) ** 2).mean() / n)
 
 
 @pytest.mark.parametrize("covariates", [(), ("x1", "x2")])
@@ -151,12 +163,22 @@ def test_effects_against_numpy(spark, covariates):
     data = did_rows()
     df = spark.createDataFrame(data, "id int, t int, y double, g int, x1 double, x2 double")
     effects = did.att_gt(df, "y", "t", "id", "g", covariates)
-    found = {(r["group"], r["period"]): r["att"] for r in effects.collect()}
+    found = {(r["group"], r["period"]): (r["att"], r["se"]) for r in effects.collect()}
     assert set(found) == {(g, t) for g in (3, 4) for t in range(1, 7)}
-    for (g, t), att in found.items():
-        assert att == pytest.approx(plain_cell(data, g, t, covariates), abs=1e-5)
+    for (g, t), (att, se) in found.items():
+        want, error = plain_cell(data, g, t, covariates)
+        assert att == pytest.approx(want, abs=1e-5)
+        assert se is None if t == g - 1 else se == pytest.approx(error, rel=1e-3)
     shape = {r["event_time"]: r["att"] for r in did.dynamic(effects, did.group_sizes(df, "id", "g")).collect()}
     assert shape[-1] == pytest.approx(0, abs=1e-9)
+    with_errors = {r["event_time"]: r for r in did.dynamic(*did.estimate(df, "y", "t", "id", "g", covariates)[:1], did.group_sizes(df, "id", "g"), did.estimate(df, "y", "t", "id", "g", covariates)[1], df, "id", "g").collect()}
+    assert with_errors[-1]["se"] is None and with_errors[3]["groups"] == 1
+    for e, r in with_errors.items():
+        assert r["att"] == pytest.approx(shape[e], abs=1e-9)
+        if e != -1:
+            assert r["low"] < r["att"] < r["high"]
+    # one group only: the error of the cell itself
+    assert with_errors[3]["se"] == pytest.approx(found[3, 6][1], rel=1e-6)
     if covariates:
         assert shape[0] == pytest.approx(2, abs=0.1) and shape[2] == pytest.approx(6, abs=0.1)
 
@@ -193,8 +215,26 @@ def test_random_histories_against_plain(spark):
     rng = random.Random(2)
     data = {k: [rng.randint(0, 1) for _ in range(rng.randint(1, 9))] for k in range(60)}
     df = spark.createDataFrame([(k, i, x) for k, v in data.items() for i, x in enumerate(v)], "e int, t int, x int")
+    # long timelines go over several slices
+    data |= {k: [rng.random() < 0.97 and 1 or 0 for _ in range(300)] for k in range(60, 70)} | {k: [0] * rng.randint(50, 80) + [1] * 140 + [0, 1] for k in range(70, 75)}
+    df = spark.createDataFrame([(k, i, x) for k, v in data.items() for i, x in enumerate(v)], "e int, t int, x int")
+    lengths = {}
+    for r in panel.runs(df, ["e"], "t", "x").orderBy("e", "run").collect():
+        lengths.setdefault(r["e"], []).append((r["value"], r["length"], r["start"]))
+    for k, v in data.items():
+        starts = [i for i in range(len(v)) if not i or v[i] != v[i - 1]]
+        assert lengths[k] == [(v[a], b - a, a) for a, b in zip(starts, [*starts[1:], len(v)])]
     for r in panel.histories(df, ["e"], "t", "x").collect():
         v = data[r["e"]]
         tail = v[v.index(1) :] if 1 in v else []
         assert r["stops"] == sum(a == 1 and b == 0 for a, b in zip(v, v[1:]))
         assert r["first_spell"] == ((tail.index(0) if 0 in tail else len(tail)) if tail else None)
+
+
+def test_shares_count_entities_and_null_groups_stay(spark):
+    df = spark.createDataFrame([(1, 2005, 1, 1), (1, 2005, 1, 1), (2, 2005, 1, 0), (None, 2005, 1, 1), (3, 2005, 0, 1), (4, 2006, 1, 0), (5, 2007, 0, 1)], "s int, y int, census int, part int")
+    found = panel.shares_by_period(df, "s", "y", F.col("census") == 1, F.col("part") == 1)
+    assert rows(found) == sorted([(2005, 3, 2, pytest.approx(200 / 3)), (2006, 1, None, None)], key=repr)
+    e = spark.createDataFrame([(1, 2005), (2, None), (2, None), (3, None)], "p int, y int")
+    assert rows(quality.duplication_classes(e, ["p"], "y")) == sorted([(2005, "1", 1, 1.0), (None, "2", 1, 0.5), (None, "1", 1, 0.5)], key=repr)
+    assert rows(panel.histories(spark.createDataFrame([(None, 1, 1), (None, 2, 0), (1, 1, None), (1, 2, 1)], "e int, t int, x int"), ["e"], "t", "x")) == sorted([(None, 2, 1, 1, 1, 1), (1, 2, 1, 2, 0, 1)], key=repr)

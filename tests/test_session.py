@@ -1,5 +1,7 @@
 import glob
 
+import pytest
+
 from panelweave import session
 
 
@@ -12,5 +14,24 @@ def test_materialise_and_clear(spark):
     assert not glob.glob(f"{folder}/*")
 
 
+def test_a_round_is_discarded(spark):
+    one, two = session.materialise(spark.range(3), "one"), session.materialise(spark.range(4), "two")
+    session.discard(one)
+    folder = f"{session.shared_dir(spark).removeprefix('file://')}/panelweave-{session.RUN}"
+    assert not glob.glob(f"{folder}/*/one") and two.count() == 4
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+
+
 def test_partitions_follow_the_session(spark):
     assert session.partitions(spark) == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -40,10 +40,10 @@ def test_ids_of_all_lines_against_union_find(spark, tmp_path):
         members.setdefault(root[x], []).append(x)
     assert sorted(map(len, members.values())) == [2, 3, 119, 301]
 
-    found = entry.queries()["q13c_id_map_all"](spark, folder).collect()
+    found = entry.queries()["q13_id_map"](spark, folder).collect()
     assert sorted(map(tuple, found)) == sorted((str(x), str(r), str(r), len(members[r])) for x, r in root.items())
 
-    found = entry.queries()["q13d_cluster_summary_all"](spark, folder).collect()
+    found = entry.queries()["q13b_cluster_summary"](spark, folder).collect()
     assert sorted(map(tuple, found)) == sorted((str(r), str(r), len(m), "|".join(map(str, m))) for r, m in members.items())
 
 
@@ -52,16 +52,16 @@ def test_sides_of_the_panel_count_every_line(spark, tmp_path):
     rows = [(1, 1, p, "R" if p % 3 else "A", 1.0) for p in range(140)] + [(1, 3, 5, "R", 2.0), (1, 4, 6, None, 3.0), (1, 5, 8, "N", 60.0)]
     folder = lineitem(spark, tmp_path, rows, "l_orderkey long, l_suppkey long, l_partkey long, l_returnflag string, l_quantity double")
     spark.createDataFrame([(1, 9, "1995-05-05")], ["o_orderkey", "o_custkey", "o_orderdate"]).write.parquet(f"{folder}/orders.parquet")
-    found = entry.queries()["q08c_full_outer_panel_all"](spark, folder).select("l_suppkey", "n", "n_census", "participant", "missing_census").collect()
+    found = entry.queries()["q08_full_outer_panel"](spark, folder).select("l_suppkey", "n", "n_census", "participant", "missing_census").collect()
     assert sorted(map(tuple, found)) == [(1, 93, 47, 1, 0), (3, 1, None, 1, 1), (4, None, 1, 0, 0), (5, None, 1, 0, 0)]
-    found = entry.queries()["q08d_three_way_merge_all"](spark, folder).select("l_suppkey", "n_r", "n_a", "n_n").collect()
+    found = entry.queries()["q08b_three_way_merge"](spark, folder).select("l_suppkey", "n_r", "n_a", "n_n").collect()
     assert sorted(map(tuple, found)) == [(1, 93, 47, None), (3, 1, None, None), (5, None, None, 1)]
 
 
 def test_orders_of_every_priority_are_checked(spark, tmp_path):
     rows = [(k, k % 6, "1-URGENT" if k % 2 else "5-LOW", "1995-05-05", "O") for k in range(24)] + [(99, 7, None, "1995-05-05", "O")]
     spark.createDataFrame(rows, ["o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate", "o_orderstatus"]).write.parquet(f"{tmp_path}/orders.parquet")
-    found = {r["check"]: r["value"] for r in entry.queries()["q18c_replication_checks_all"](spark, str(tmp_path)).collect()}
+    found = {r["check"]: r["value"] for r in entry.queries()["q18_replication_checks"](spark, str(tmp_path)).collect()}
     assert found["rows_before"] == found["paired"] == 7
 
 
@@ -70,5 +70,5 @@ def test_every_line_is_an_outcome(spark, tmp_path):
     folder = lineitem(spark, tmp_path, [(1, 1, "R", 1.0), (1, 1, "R", 2.0), (1, 2, "R", 50.0)], ["l_orderkey", "l_suppkey", "l_returnflag", "l_quantity"])
     spark.createDataFrame([(1, "O", "1995-05-05"), (2, "O", "1995-05-06")], ["o_orderkey", "o_orderstatus", "o_orderdate"]).write.parquet(f"{folder}/orders.parquet")
     spark.createDataFrame([(1, 10), (2, 20)], ["s_suppkey", "s_nationkey"]).write.parquet(f"{folder}/supplier.parquet")
-    found = entry.queries()["q26b_outcome_panel_all"](spark, folder).collect()
+    found = entry.queries()["q26_outcome_panel"](spark, folder).collect()
     assert set(map(tuple, found)) == {(1995, "R", 3, 1, 2), (1995, None, 1, 1, 0)}
