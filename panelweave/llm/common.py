@@ -10,24 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelweave.session import importable
 
-#: Rows that one Arrow batch may hold: long texts make a batch large long before the default of 10,000 rows.
-BATCH_ROWS = 512
-
 #: ASCII white space, the separator of words: space and 0x09-0x0D. ``bytes.split()`` splits on the same six bytes.
 SPACE = r"\x20\x09-\x0D"
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches small enough for whole long texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-
-
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over small batches, by workers that find this package wherever the session was started."""
-    small_batches(df.sparkSession)
+    """``mapInArrow`` by workers that find this package wherever the session was started.
+
+    Spark bounds a batch by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB unless set otherwise), so
+    whole long texts need no setting of the session changed.
+    """
     importable(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
@@ -56,3 +48,8 @@ def arrow_rows(spark: SparkSession, rows: int):
         yield
     finally:
         spark.conf.set(key, before)
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows under names ``c0, c1, …``, by position: nothing an operator adds can clash with them."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
