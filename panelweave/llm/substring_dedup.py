@@ -364,7 +364,8 @@ def _repeated(keyed: DataFrame, window: int, gram: int, run_most: int) -> DataFr
     wide = max(partitions(spark), size // PARTITION_BYTES)
     total = max(partitions(spark) * BUCKETS, size // BUCKET_BYTES)
     packed = arrow_map(rows, _split(total, window, gram, run_most, rarity(rows, size, window, gram)), "bucket bigint, kind int, blob binary")
-    dealt = packed.repartition(wide, "bucket").sortWithinPartitions("bucket")
+    # by number, not by hash: every partition gets its equal share of the buckets
+    dealt = packed.repartitionById(wide, (F.col("bucket") % wide).cast("int")).sortWithinPartitions("bucket")
     with arrow_rows(spark, 128):
         return materialise(dealt.mapInArrow(_count(window), "k bigint, th bigint, first bigint, stop bigint"), "spans")
 
