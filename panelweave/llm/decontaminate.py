@@ -8,14 +8,18 @@ hit is extended to the ten words around it, and the words themselves are
 compared, so no collision of hashes gets into the result. Items of fewer words
 are one shorter window; their grams are joined directly.
 
-Defined results: null or wordless texts have no hits; a wordless item has no
-window; items without an id count as hits but not as items; rows that repeat a
-``doc_id`` are judged each by their own text; extra columns are ignored.
+Defined results: null or wordless texts have no hits; a text of any length is read
+whole; a wordless item has no window; items without an id count as hits but not as
+items; items that repeat, and windows that items share, count once each; rows that
+repeat a ``doc_id`` are judged each by their own text; extra columns of any name
+pass through untouched; empty tables give no hits.
 
 Skew: a text's fingerprints are rows, joined to at most ten rows of the list per
-fingerprint whatever number of items share it. The list is broadcast only where
-its counted rows are few, otherwise it is shuffled and adaptive execution splits
-frequent fingerprints.
+fingerprint whatever number of items share it; the ids of items are joined last, to
+the windows that were hit. The fingerprints, the windows and the ids are each
+broadcast only where their counted rows (and the windows' counted bytes) are few,
+otherwise they are shuffled and adaptive execution splits frequent ones. Where few
+texts have a fingerprint in common with an item, only those texts are shuffled.
 """
 
 from __future__ import annotations
@@ -24,12 +28,13 @@ import string
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from panelweave.llm.common import numbered
 from panelweave.session import materialise, table
 
 WINDOW, GRAM = 10, 5
 
-#: Rows of the fingerprint list up to which it is broadcast (24 bytes each).
-BROADCAST_ROWS = 500_000
+#: Counted rows up to which a table is broadcast (numbers, or short texts whose bytes are counted too), and bytes of texts.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 #: Values of ``fp`` that rows of size 0 have, so that no one value is frequent.
 COUNTS = 1024
@@ -82,16 +87,16 @@ def fingerprints(words: DataFrame, keys: list[str], short: tuple[int, ...] = ())
     return step.select(*keys, F.explode(rows).alias("e")).select(*keys, "e.size", "e.fp", "e.at")
 
 
-def item_windows(items: DataFrame, text: str = "text", item: str = "item_id") -> DataFrame:
-    """One row per distinct window: ``window`` (its words, joined by a space), ``size``, ``words``, ``items`` (distinct ids)."""
-    base = items.select(F.col(item).cast("string").alias("item"), words_of(F.coalesce(F.col(text), F.lit(""))).alias("w")).where(F.size("w") > 0)
+def item_windows(items: DataFrame, text: str = "text", item: str = "item_id") -> tuple[DataFrame, DataFrame]:
+    """The distinct windows, ``wid, window`` (its words, joined by a space) ``, size, words``; and ``wid, item`` for the items with an id that have them."""
+    base = items.select(F.col(f"`{item}`").cast("string").alias("item"), words_of(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (WINDOW - 1), F.lit(1)))
-    rows = base.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, WINDOW))).alias("words"))
-    return (
-        rows.groupBy("words")
-        .agg(F.collect_set("item").alias("items"))
-        .select(F.concat_ws(" ", "words").alias("window"), F.size("words").alias("size"), "words", "items")
-    )
+    rows = base.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, WINDOW))).alias("words")).distinct()
+    rows = materialise(rows, "item-windows")
+    # the number of a window is fixed by writing it down
+    windows = rows.select("words").distinct().select(F.monotonically_increasing_id().alias("wid"), F.concat_ws(" ", "words").alias("window"), F.size("words").alias("size"), "words")
+    windows = materialise(windows, "windows")
+    return windows, materialise(rows.where("item is not null").join(windows.select("wid", "words"), "words").select("wid", "item"), "window-items")
 
 
 def _item_fingerprints(windows: DataFrame, short: tuple[int, ...]) -> DataFrame:
@@ -105,37 +110,55 @@ def _item_fingerprints(windows: DataFrame, short: tuple[int, ...]) -> DataFrame:
     return rows.select("size", "fp", F.col("at").alias("offset")).distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
-    """Per row of ``docs``: its key, ``n_words``, ``n_hit``, ``items`` (sorted distinct ids as strings), ``spans`` (start, end of hit words).
+def _few(df: DataFrame, size: Column | None = None) -> bool:
+    """Whether the counted rows, and the bytes of a column, are few enough for a broadcast."""
+    rows, volume = df.agg(F.count("*"), F.sum(F.octet_length(size).cast("long")) if size is not None else F.lit(0)).first()
+    return rows <= BROADCAST_ROWS and (volume or 0) <= BROADCAST_BYTES
 
-    ``key`` may repeat or be null: a row is known by its key and the hash of its text.
-    """
-    windows = item_windows(items, text="text", item=item)
+
+def _bounded(df: DataFrame, size: Column | None = None) -> DataFrame:
+    return F.broadcast(df) if _few(df, size) else df
+
+
+def _hits(docs: DataFrame, items: DataFrame, text: str, key: str, item: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``base``: ``k, th, t`` of every row; ``near``: ``k, th, places, n_words``; ``hits``: ``k, th, at, size, wid``, equal word by word; and the ids ``wid, item``."""
+    windows, ids = item_windows(items, text="text", item=item)
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # ten values at most
     short = tuple(s for s in sizes if s < WINDOW)
-    marks = _item_fingerprints(windows, short)
-    small = marks.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    bounded = F.broadcast if small else (lambda df: df)
+    counts = docs.sparkSession.range(COUNTS).select(F.lit(0).alias("size"), F.col("id").alias("fp"), F.lit(0).alias("offset"))
+    marks = materialise(_item_fingerprints(windows, short).unionByName(counts), "marks")
 
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(key).alias("k"), F.xxhash64(t).alias("th"), t.alias("t"))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    base = docs.select(F.col(f"`{key}`").alias("k"), F.xxhash64(t).alias("th"), t.alias("t"))
     prints = fingerprints(base.select("k", "th", words_of(F.col("t")).alias("words")), ["k", "th"], short)
-    counts = docs.sparkSession.range(COUNTS).select(F.lit(0).alias("size"), F.col("id").alias("fp"), F.lit(0).alias("offset"))
-    near = prints.join(bounded(marks.unionByName(counts)), ["size", "fp"]).select("k", "th", F.struct("size", (F.col("at") - F.col("offset")).alias("at")).alias("c"))
+    near = prints.join(_bounded(marks), ["size", "fp"]).select("k", "th", F.struct("size", (F.col("at") - F.col("offset")).alias("at")).alias("c"))
     near = near.where("c.at >= 0").groupBy("k", "th")
     near = near.agg(F.collect_set(F.when(F.col("c.size") > 0, F.col("c"))).alias("places"), F.max(F.when(F.col("c.size") == 0, F.col("c.at"))).alias("n_words"))
     near = materialise(near, "places")
     places = near.where(F.size("places") > 0).select(F.col("k").alias("pk"), F.col("th").alias("pth"), "places")
 
-    # extend: the words at each place against the words of the windows
-    found = base.join(places, F.col("k").eqNullSafe(F.col("pk")) & (F.col("th") == F.col("pth")))
+    # extend: the words at each place against the words of the windows; of all texts only those with a place go on, if they are few
+    candidates, kept = base, places.select("pth").distinct()
+    if _few(kept):
+        candidates = base.join(F.broadcast(kept), F.col("th") == F.col("pth"), "left_semi")
+    found = candidates.join(places, F.col("k").eqNullSafe(F.col("pk")) & (F.col("th") == F.col("pth")))
     found = found.select("k", "th", words_of(F.col("t")).alias("w"), "places")
     at = F.transform("places", lambda c: F.struct(c["at"].alias("at"), c["size"].alias("size"), F.concat_ws(" ", F.slice("w", c["at"] + 1, c["size"])).alias("window")))
     found = found.select("k", "th", F.explode(at).alias("e")).select("k", "th", "e.at", "e.size", "e.window")
-    hits = found.join(bounded(windows.select("window", "items")), "window")
-    spans = F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("end"))))
-    hits = hits.groupBy("k", "th").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    hits = hits.select(F.col("k").alias("pk"), F.col("th").alias("pth"), "spans", "items")
+    known = windows.select("window", "wid")
+    return base, near, materialise(found.join(_bounded(known, F.col("window")), "window").select("k", "th", "at", "size", "wid").distinct(), "hits"), ids
+
+
+def contamination(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
+    """Per row of ``docs``: its key, ``th`` (hash of the text), ``n_words``, ``n_hit``, ``items`` (sorted distinct ids as strings), ``spans`` (start, end of hit words).
+
+    ``key`` may repeat or be null: a row is known by its key and the hash of its text.
+    """
+    base, near, hits, ids = _hits(docs, items, text, key, item)
+    spans = F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("end")))).alias("spans")
+    spans = hits.groupBy("k", "th").agg(spans).select(F.col("k").alias("pk"), F.col("th").alias("pth"), "spans")
+    own = hits.select("k", "th", "wid").distinct().join(_bounded(ids, F.col("item")), "wid").select("k", "th", "item").distinct()
+    own = own.groupBy("k", "th").agg(F.array_sort(F.collect_list("item")).alias("items")).select(F.col("k").alias("ik"), F.col("th").alias("ith"), "items")
 
     covered = F.aggregate(
         "spans",
@@ -148,7 +171,9 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", key: st
     )
     counted = near.select(F.col("k").alias("nk"), F.col("th").alias("nth"), F.col("n_words").cast("long").alias("n_words"))
     every = base.select("k", "th").join(counted, F.col("k").eqNullSafe(F.col("nk")) & (F.col("th") == F.col("nth")))
-    return every.join(hits, F.col("k").eqNullSafe(F.col("pk")) & (F.col("th") == F.col("pth")), "left").select(
+    every = every.join(spans, F.col("k").eqNullSafe(F.col("pk")) & (F.col("th") == F.col("pth")), "left")
+    every = every.join(own, F.col("k").eqNullSafe(F.col("ik")) & (F.col("th") == F.col("ith")), "left")
+    return every.select(
         F.col("k").alias(key),
         "th",
         "n_words",
@@ -159,10 +184,12 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", key: st
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
-    """The rows of ``docs`` without any hit."""
-    found = contamination(docs, items, text, key, item).where("n_hit > 0").select(F.col(key).alias("_k"), F.col("th").alias("_th")).distinct()
-    row_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    return docs.join(found, F.col(key).eqNullSafe(F.col("_k")) & (row_hash == F.col("_th")), "left_anti")
+    """The rows of ``docs`` without any hit. Texts are not shuffled where few have one."""
+    found = materialise(_hits(docs, items, text, key, item)[2].select("k", "th").distinct(), "contaminated")
+    rows = numbered(docs)
+    own = lambda name: F.col(f"c{docs.columns.index(name)}")
+    same = own(key).eqNullSafe(F.col("k")) & (F.xxhash64(F.coalesce(own(text), F.lit(""))) == F.col("th"))
+    return rows.join(_bounded(found), same, "left_anti").toDF(*docs.columns)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

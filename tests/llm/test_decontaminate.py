@@ -57,7 +57,24 @@ def test_against_all_windows(spark, monkeypatch, broadcast, short):
     docs += [(60, None), (61, ""), (None, items_text), (None, "wholly own words here"), (7, items_text), (7, items_text), (62, "a b " * 3000 + items_text), (63, "ß"), (64, items_text + " " + items_text)]
     left = spark.createDataFrame([(k, t, "z", 1) for k, t in docs], "doc_id long, text string, k string, item int")
     right = spark.createDataFrame([(i, t, 2) for i, t in items], "item_id long, text string, doc_id int")
-    assert found(contamination(left, right)) == plain(docs, items)
+    want = plain(docs, items)
+    assert found(contamination(left, right)) == want
+    clean = decontaminate.remove_contaminated(left.selectExpr("doc_id", "text", "k", "item as th", "k as c0", "k as pk"), right)
+    assert clean.columns == ["doc_id", "text", "k", "th", "c0", "pk"]
+    assert sorted((r["doc_id"] for r in clean.collect()), key=str) == sorted((k for k, _, hits, _ in want if not hits), key=str)
+
+
+def test_a_window_of_very_many_items_and_more_windows_than_marks(spark, monkeypatch):
+    """20,000 items share one window; 3,000 templated items share fingerprints: ids and windows are counted, not only marks."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 3500)
+    shared = "one two three four five six seven eight nine ten"
+    items = [(i, shared) for i in range(20_000)] + [(20_000 + i, f"alpha beta gamma delta epsilon zeta eta theta iota {i}") for i in range(3000)]
+    docs = [(1, f"x {shared} y"), (2, "alpha beta gamma delta epsilon zeta eta theta iota 77 z"), (3, "none of it"), (4, shared.upper())]
+    left = spark.createDataFrame(docs, "doc_id long, text string")
+    right = spark.createDataFrame(items, "item_id long, text string")
+    rows = {r["doc_id"]: r for r in contamination(left, right).collect()}
+    assert {k: (r["n_words"], r["n_hit"], len(r["items"])) for k, r in rows.items()} == {1: (12, 10, 20_000), 2: (11, 10, 1), 3: (3, 0, 0), 4: (10, 10, 20_000)}
+    assert rows[1]["items"] == sorted(map(str, range(20_000))) and rows[2]["items"] == ["20077"]
 
 
 def test_empty(spark):
