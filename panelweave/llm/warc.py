@@ -14,12 +14,14 @@ responses, though stored once as well.
 
 Skew: a payload that a third of all pages share is one row of ``payloads``; its
 pages are narrow rows, and the joins leave skewed keys to adaptive execution.
-Payload bytes are moved only to pick each distinct one, by the unique page id.
-
-Defined results: a null payload is the empty one; a null url becomes an empty
-target (line ends in urls are percent-encoded); a null page id comes after all others; page ids must not repeat with
-different payloads (rows that repeat whole are kept, each a record of its own).
-Extra columns are ignored; an empty table gives an archive without records.
+Payload bytes are moved only to pick each distinct one, by its holder's id and digest.
+
+Defined results: a null payload is the empty one, one of any length is stored whole;
+a null url becomes an empty target (line ends in urls are percent-encoded); a null
+page id comes after all others, and ids of any type are named as text; a page id that
+repeats has a record for each of its rows, whatever their payloads (of records with
+equal payloads and the holder's id all are responses). Extra columns of any name are
+ignored; an empty table gives an archive without records.
 """
 
 from __future__ import annotations
@@ -63,20 +65,20 @@ def _header(kind: Column, uri: Column, record: Column, size: Column, sha1: Colum
 
 def write_archive(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", date: str = DATE) -> None:
     """Write the archive of ``pages`` to ``folder``. ``payload`` is text (stored in UTF-8) or binary."""
-    body = F.col(payload) if dict(pages.dtypes)[payload] == "binary" else _bytes(F.col(payload))
+    body = F.col(f"`{payload}`") if dict(pages.dtypes)[payload] == "binary" else _bytes(F.col(f"`{payload}`"))
     body = F.coalesce(body, _bytes(F.lit("")))
-    uri = F.replace(F.replace(F.coalesce(F.col(url), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
-    rows = pages.select(F.col(key).alias("k"), uri.alias("uri"), body.alias("payload"))
+    uri = F.replace(F.replace(F.coalesce(F.col(f"`{url}`"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    rows = pages.select(F.col(f"`{key}`").alias("k"), uri.alias("uri"), body.alias("payload"))
     narrow = rows.select("k", "uri", F.sha2("payload", 256).alias("digest"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
     narrow.write.parquet(f"{folder}/digests")
     narrow = pages.sparkSession.read.schema(narrow.schema).parquet(f"{folder}/digests")
 
     # the largest id of each payload holds its bytes; nulls come last, so a payload may have only null ids
     holders = narrow.groupBy("digest").agg(F.max("k").alias("holder"))
-    held = rows.join(holders.select(F.col("holder").alias("k")).where("k is not null"), "k", "left_semi")
-    unnamed = rows.where("k is null").withColumn("digest", F.sha2("payload", 256))
-    unnamed = unnamed.join(holders.where("holder is null").select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
-    payloads = held.dropDuplicates(["k"]).select(F.sha2("payload", 256).alias("digest"), "payload").unionByName(unnamed.select("digest", "payload"))
+    rows = rows.select("k", "payload", F.sha2("payload", 256).alias("digest"))
+    held = rows.join(holders.select(F.col("holder").alias("k"), "digest").where("k is not null"), ["k", "digest"], "left_semi").dropDuplicates(["k", "digest"])
+    unnamed = rows.where("k is null").dropDuplicates(["digest"]).join(holders.where("holder is null").select("digest"), "digest", "left_semi")
+    payloads = held.select("digest", "payload").unionByName(unnamed.select("digest", "payload"))
     payloads.write.option("compression", "zstd").parquet(f"{folder}/payloads")
 
     named = narrow.join(holders, "digest")
@@ -106,7 +108,7 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
         F.octet_length("payload").cast("long").alias("size"),
         (F.sha2("payload", 256) == F.col("digest")).alias("intact"),
     )
-    records = spark.read.schema("k bigint, digest string, warc_header binary, http_header binary").parquet(f"{folder}/records")
+    records = spark.read.schema("digest string, warc_header binary, http_header binary").parquet(f"{folder}/records")
     warc, http = F.decode("warc_header", "UTF-8"), F.decode("http_header", "UTF-8")
     records = records.select(
         "digest",

@@ -69,6 +69,18 @@ def test_empty_and_repeated(spark, tmp_path):
     assert warc.read_archive(spark, str(tmp_path / "b")).collect() == []
 
 
+def test_one_id_with_two_payloads_and_a_long_one(spark, tmp_path):
+    a, b, long = "a" * 1500, "b" * 1500, "é" * 3_000_000
+    df = spark.createDataFrame([(1, "u", a), (1, "u", b), (2, "v", a), (3, "w", long), (None, "x", b), (None, "x", None)], "page_id long, url string, html string")
+    for key, frame in (("page_id", df), ("name", df.withColumn("name", df["page_id"].cast("string")).withColumnRenamed("page_id", "k"))):
+        folder = str(tmp_path / key)
+        warc.write_archive(frame, folder, key=key)
+        rows = warc.read_archive(spark, folder).select("record_id", "record_type", "refers_to", "payload", "record_bytes").collect()
+        found = sorted((r["record_id"], r["record_type"], r["refers_to"] or None, bytes(r["payload"]).decode()) for r in rows)
+        want = [("1", "response", None, b), ("1", "revisit", "2", a), ("2", "response", None, a), ("3", "response", None, long), ("", "revisit", "1", b), ("", "response", None, "")]
+        assert found == sorted(want)
+
+
 def test_query_rebuilds_every_record(spark, tmp_path, monkeypatch):
     from pyspark.sql import functions as F
 
