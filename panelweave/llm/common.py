@@ -53,3 +53,9 @@ def arrow_rows(spark: SparkSession, rows: int):
 def numbered(df: DataFrame) -> DataFrame:
     """The rows under names ``c0, c1, …``, by position: nothing an operator adds can clash with them."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def with_results(df: DataFrame, names: list[str], results: dict[str, Column]) -> DataFrame:
+    """A frame made by :func:`numbered` from columns ``names``, under these names again, with results beside them; a result takes the place of a column of its name."""
+    kept = [(f"c{i}", n) for i, n in enumerate(names) if n.lower() not in {r.lower() for r in results}]
+    return df.select(*[F.col(c) for c, _ in kept], *results.values()).toDF(*[n for _, n in kept], *results)

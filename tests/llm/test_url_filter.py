@@ -40,12 +40,12 @@ def test_against_python(spark):
     captures += [(1000, None, DAY, "k"), (1001, "nonsense", DAY, "k"), (1002, "http://a.com/p", None, "k"), (None, "http://a.com/p", DAY, "k"), (None, "http://a.com/p", DAY, "k")]
     left = spark.createDataFrame(captures, "page_id long, url string, fetched_at date, kind string")
     right = spark.createDataFrame(entries, "kind string, value string, action string, at date")
-    for broadcast in (200_000, 1):
-        url_filter.BROADCAST_ROWS = broadcast
+    for broadcast, size in ((200_000, 256), (1, 256), (200_000, 2), (1, 3)):
+        url_filter.BROADCAST_ROWS, url_filter.SLICE = broadcast, size
         rows = url_filter.judge(left, right).collect()
         found = sorted(((r["page_id"], r["url"], r["blocked"], r["entry_kind"], r["entry"], r["entry_since"]) for r in rows), key=str)
         assert found == sorted(((k, u, *plain(u, d, entries)) for k, u, d, _ in captures), key=str)
-    url_filter.BROADCAST_ROWS = 200_000
+    url_filter.BROADCAST_ROWS, url_filter.SLICE = 200_000, 256
     assert any(r[2] for r in found) and any(r[3] == "prefix" for r in found)
 
 
@@ -55,3 +55,28 @@ def test_empty(spark):
     assert [r["blocked"] for r in url_filter.judge(left, right).collect()] == [True]
     assert [r["blocked"] for r in url_filter.judge(left, right.limit(0)).collect()] == [False]
     assert url_filter.judge(left.limit(0), right).collect() == []
+
+
+def test_entries_count_from_their_time_on(spark):
+    at = lambda hour, minute=0, day=5: datetime.datetime(2024, 3, day, hour, minute)
+    entries = [("domain", "a.com", "block", at(15)), ("domain", "a.com", "off", at(18)), ("prefix", "a.com/p", "allow", at(16, 30))]
+    captures = [(i, f"http://a.com/{path}", t) for i, (path, t) in enumerate([("x", at(9)), ("x", at(14, 59)), ("x", at(15)), ("x", at(17)), ("p/q", at(16)), ("p/q", at(16, 30)), ("x", at(18)), ("x", at(9, 0, 6))])]
+    for kind in ("timestamp", "timestamp_ntz"):
+        left = spark.createDataFrame(captures, f"page_id long, url string, fetched_at {kind}")
+        for told in ("timestamp", "timestamp_ntz"):
+            right = spark.createDataFrame(entries, f"kind string, value string, action string, at {told}")
+            found = {r["page_id"]: (r["blocked"], r["entry_since"]) for r in url_filter.judge(left, right).collect()}
+            assert [found[i][0] for i in range(8)] == [False, False, True, True, True, False, False, False]
+            assert found[2][1] == at(15) and found[5][1] == at(16, 30) and found[6][1] is None
+
+
+def test_far_times_long_urls_many_switches_and_clashing_names(spark):
+    """A capture of the year 9999 with 1,000 open entries, a value switched 5,000 times, a url of a megabyte, and result names among the columns."""
+    entries = [("domain", f"h{i}.org", "block", datetime.datetime(2020, 1, 1)) for i in range(1000)]
+    entries += [("domain", "s.org", ("block", "off")[i % 2], datetime.datetime(2020, 1, 1) + datetime.timedelta(hours=i)) for i in range(5000)]
+    far = datetime.datetime(9999, 12, 31)
+    captures = [(1, "http://h7.org/x", far, "u"), (2, "http://s.org/" + "p/" * 500_000, datetime.datetime(2020, 1, 1, 4, 30), "u"), (3, "http://s.org", datetime.datetime(2020, 1, 2, 5, 30), "u"), (4, "http://s.org", datetime.datetime(2019, 1, 1), "u")]
+    left = spark.createDataFrame(captures, "page_id long, url string, fetched_at timestamp, blocked string").selectExpr("*", "1 as u", "2 as time", "3 as c0", "4 as best")
+    out = url_filter.judge(left, spark.createDataFrame(entries, "kind string, value string, action string, at timestamp"))
+    assert out.columns == ["page_id", "url", "fetched_at", "u", "time", "c0", "best", "blocked", "entry_kind", "entry", "entry_since"]
+    assert {r["page_id"]: r["blocked"] for r in out.collect()} == {1: True, 2: True, 3: False, 4: False}
