@@ -4,13 +4,15 @@ Several heuristics vote on every text: good, bad, or nothing. No one knows their
 accuracies; expectation-maximisation (Dawid and Skene) finds them, and the
 posterior of each text, from how often the votes agree. The whole corpus is
 counted, as a table of vote patterns whose size the number of heuristics bounds.
-The posteriors then label a bounded sample (``TRAIN_DOCS``, by digest of the id)
-on which a linear scorer over hashed words and word shapes is trained; it scores
-every text whole. No gold label is used anywhere.
+The posteriors then label a bounded sample (``TRAIN_DOCS`` texts and
+``TRAIN_FEATURES`` features of them, by digest of the id) on which a linear scorer
+over hashed words and word shapes is trained; it scores every text whole. No gold
+label is used anywhere.
 
 Defined results: null and empty texts get no vote but that of length, and the
-score of the intercept; repeated rows score alike; extra columns do not matter; an
-empty table gives an empty result.
+score of the intercept; a text of any length is measured and scored whole; a vote
+that ties with its threshold is cast; repeated rows score alike; extra columns of
+any name do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from panelweave.llm.common import arrow_map, strings
 from panelweave.llm.quality_rules import STOP_WORDS
 from panelweave.session import materialise, table
 
-TRAIN_DOCS, DIMENSIONS, CACHE_ENTRIES = 6_000, 1 << 15, 200_000
+TRAIN_DOCS, TRAIN_FEATURES, DIMENSIONS, CACHE_ENTRIES = 6_000, 4_000_000, 1 << 15, 200_000
 KEEP_FROM = 0.5
 
 _STOP = frozenset(STOP_WORDS)
@@ -174,34 +176,49 @@ def train(rows: list[tuple[list[int], list[int], int, float]], rounds: int = 300
     return scorer
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = TRAIN_DOCS) -> tuple[Scorer, dict[int, float]]:
-    """The scorer, and the posterior of each vote pattern. The driver gets the patterns (3 ** voters at most) and the sample's features."""
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int = TRAIN_DOCS, features_most: int = TRAIN_FEATURES) -> tuple[Scorer, dict[int, float]]:
+    """The scorer, and the posterior of each vote pattern.
+
+    The driver gets the patterns (3 ** voters at most), and ``features_most`` features
+    of 8 bytes at most: texts enter in the order of their ids' digests until either
+    bound is reached (at least one, which has ``2 * DIMENSIONS`` at most).
+    """
+    docs = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = Counter(map(votes, strings(batch.column(0))))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
 
-    patterns = arrow_map(docs.select(text), vote, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    patterns = arrow_map(docs.select("text"), vote, "pattern bigint, n bigint").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     good, _, _ = posteriors({r["pattern"]: r["n"] for r in patterns})
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64())
         for batch in batches:
             rows = []
-            for x in strings(batch.column(0)):
+            for digest, x in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
                 words = x.split()
                 seen = Counter(p for w in words for p in features(w))
                 seen[SAME] += sum(map(str.__eq__, words, words[1:]))
-                rows.append((list(seen), list(seen.values()), len(words), good[votes(x)]))
-            columns = list(zip(*rows)) if rows else [(), (), (), ()]
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["places", "counts", "n", "target"])
+                places = sorted(seen)
+                packed = (np.array(v, "<i4").tobytes() for v in (places, [seen[p] for p in places]))
+                rows.append((digest, *packed, len(places), len(words), good[votes(x)]))
+            columns = list(zip(*rows)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["digest", "places", "counts", "size", "n", "target"])
 
     # ids first, so that texts are only read for the sample
-    ids = docs.select(F.col(key).alias("k")).distinct().orderBy(F.md5(F.coalesce(F.col("k").cast("string"), F.lit(""))), "k").limit(limit)
-    sample = docs.join(F.broadcast(ids), F.col(key).eqNullSafe(F.col("k"))).groupBy("k").agg(F.min(text).alias("t"))
-    rows = arrow_map(sample.select("t"), describe, "places array<bigint>, counts array<bigint>, n bigint, target double").orderBy("n", "target", "places").collect()
-    return train([(r["places"], r["counts"], r["n"], r["target"]) for r in rows]), good
+    digest = F.md5(F.coalesce(F.col("key").cast("string"), F.lit("")))
+    ids = docs.select("key").distinct().select("key", digest.alias("digest"), F.col("key").isNull().alias("missing")).orderBy("digest", "missing", "key").limit(limit)
+    ids = F.broadcast(ids.select(F.col("key").alias("k"), "digest"))
+    sample = docs.join(ids, F.col("key").eqNullSafe(F.col("k"))).groupBy("digest", "k").agg(F.min("text").alias("t")).select("digest", "t")
+    schema = "digest string, places binary, counts binary, size bigint, n bigint, target double"
+    described = materialise(arrow_map(sample, describe, schema), "features")
+    sizes = sorted(map(tuple, described.select("digest", "size").collect()))  # ``limit`` rows at most
+    total = np.cumsum([size for _, size in sizes])
+    last = sizes[max(0, int(np.searchsorted(total, features_most, "right")) - 1)][0] if sizes else ""
+    rows = sorted(described.where(F.col("digest") <= last).drop("size").collect(), key=lambda r: (r["digest"], r["n"]))
+    return train([(np.frombuffer(r["places"], "<i4"), np.frombuffer(r["counts"], "<i4"), r["n"], r["target"]) for r in rows]), good
 
 
 def classify(docs: DataFrame, scorer: Scorer, good: dict[int, float], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,9 +230,10 @@ def classify(docs: DataFrame, scorer: Scorer, good: dict[int, float], key: str =
             scores = [scorer.score(x) for x in texts]
             weak = [good.get(votes(x), 0.5) for x in texts]
             columns = [batch.column(0), pa.array(scores, pa.float64()), pa.array(weak, pa.float64()), pa.array([s >= KEEP_FROM for s in scores], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, [key, "score", "weak_label", "kept"])
+            yield pa.RecordBatch.from_arrays(columns, ["key", "score", "weak_label", "kept"])
 
-    return arrow_map(docs.select(key, text), run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double, weak_label double, kept boolean")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t"))
+    return arrow_map(rows, run, f"key {docs.schema[key].dataType.simpleString()}, score double, weak_label double, kept boolean").toDF(key, "score", "weak_label", "kept")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
