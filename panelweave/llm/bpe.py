@@ -24,9 +24,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelweave.llm.common import arrow_map, strings
+from panelweave.llm.common import arrow_map, numbered, strings, with_results
 from panelweave.session import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -256,11 +256,9 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
     """Add ``token_ids`` (binary, little-endian unsigned 32-bit) and ``decoded`` (binary) to every row of ``docs``.
 
     A narrow map: no shuffle, memory bounded by one Arrow batch and the caches.
-    Null text: empty ids and empty bytes.
+    Null text: empty ids and empty bytes. Columns of these two names are replaced.
     """
-    if clash := {"token_ids", "decoded"} & set(docs.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
-    at = docs.columns.index(text)
+    at, rows = docs.columns.index(text), numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -269,8 +267,9 @@ def encode_documents(docs: DataFrame, text: str = "text", path: str | None = Non
             arrays = [*batch.columns, pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "token_ids", "decoded"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(docs, run, f"{fields}, token_ids binary, decoded binary")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    found = arrow_map(rows, run, f"{fields}, token_ids binary, decoded binary")
+    return with_results(found, docs.columns, {c: F.col(c) for c in ("token_ids", "decoded")})
 
 
 def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, ids: bool = False) -> DataFrame:
@@ -288,14 +287,15 @@ def digests(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str
                 if ids:
                     all_ids.append(found)
             arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
-            names = [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+            names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
                 arrays, names = [*arrays, pa.array(all_ids, pa.binary())], [*names, "token_ids"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids binary" * ids
-    return arrow_map(docs.select(key, text), run, schema)
+    schema = f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids binary" * ids
+    found = arrow_map(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("t")), run, schema)
+    return found.toDF(key, *found.columns[1:])
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@ from built-in functions only; the table of rules is compiled into one boolean
 expression over them. Rules compare integers (``100 * count > limit * base``),
 so no rounding decides. There is no shuffle: each row is judged by itself.
 
-Null text: no word, hence rejected by the base rule. Empty texts likewise.
-Repeated rows are judged alike, extra columns are ignored, an empty table gives
-an empty result.
+Null text: no word, hence rejected by the base rule. Empty texts likewise. A text
+of any length is counted whole; a count that ties with its limit breaks no rule.
+Repeated rows are judged alike, extra columns of any name are ignored, an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -63,11 +64,12 @@ def compile_rules(rules: tuple[Rule, ...]) -> dict[str, Column]:
 
 
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The counts that rules may use, beside the columns in ``keep``."""
+    """The counts that rules may use, beside the columns in ``keep`` (a count takes the place of a column of its name)."""
     words = F.regexp_extract_all("t", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    step = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("t")).select(
-        *keep,
+    held = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("none")).alias("row")
+    step = docs.select(held, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t")).select(
+        "row",
         words.alias("w"),
         lines.alias("l"),
         F.length(F.regexp_replace("t", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
@@ -75,7 +77,7 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     )
     counts = ("n_words", "n_lines", "word_chars", "n_symbols", "n_stop_words", "n_dup_lines")
     step = step.select(
-        *keep,
+        "row",
         F.size("w").cast("long").alias("n_words"),
         F.size("l").cast("long").alias("n_lines"),
         "word_chars",
@@ -89,17 +91,19 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         F.slice("h", 1, F.greatest(F.size("h") - (WINDOW - 1), F.lit(0))),
         lambda x, i: F.xxhash64(x, *[F.get("h", i + k) for k in range(1, WINDOW)]),
     )
-    step = step.select(*keep, *counts, hashes.alias("g"))
+    step = step.select("row", *counts, hashes.alias("g"))
     ordered = F.sort_array(F.transform("g", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))
-    step = step.select(*keep, *counts, F.when(F.size(F.array_distinct("g")) < F.size("g"), ordered).alias("s"))
+    step = step.select("row", *counts, F.when(F.size(F.array_distinct("g")) < F.size("g"), ordered).alias("s"))
     twice = F.filter("s", lambda e, j: (e.x == F.get("s", j - 1).x) | (e.x == F.get("s", j + 1).x))
-    step = step.select(*keep, *counts, F.sort_array(F.transform(twice, lambda e: e.i)).alias("p"))
+    step = step.select("row", *counts, F.sort_array(F.transform(twice, lambda e: e.i)).alias("p"))
     covered = F.aggregate(
         F.transform("p", lambda at, j: F.least(F.lit(WINDOW), F.coalesce(F.get("p", j + 1) - at, F.lit(WINDOW)))),
         F.lit(0).cast("long"),
         lambda total, x: total + x,
     )
-    return step.select(*keep, *counts, F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
+    results = [*counts, "n_repeat_words"]
+    step = step.select("row", *counts, F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"))
+    return step.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(keep) if c not in results], *results)
 
 
 def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

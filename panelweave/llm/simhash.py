@@ -14,8 +14,10 @@ the *other* segment with one bit left out), which holds 2**18 fingerprints at
 most; no task ever meets an unbounded group.
 
 Defined results: null and empty texts have fingerprint zero and link like any
-other; repeated rows get one result row each; a null ``doc_id`` never names a
-component unless all its members are null; an empty table gives an empty result.
+other; a text of any length is hashed whole; repeated rows get one result row each;
+a null ``doc_id`` never names a component unless all its members are null; ties do
+not arise, as a component is named by its least key; columns of any name pass
+through untouched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelweave.llm.common import arrow_map, arrow_rows, strings
+from panelweave.llm.common import arrow_map, arrow_rows, numbered, strings
 from panelweave.operators.graph import connected_components
 from panelweave.session import materialise, table
 
@@ -60,15 +62,16 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """``key, th, fp`` per row: the hash of the text and the fingerprint as a signed 64-bit integer. A narrow map."""
+    """``key`` (of that name), ``th``, ``fp`` per row: the hash of the text and the fingerprint as a signed 64-bit integer. A narrow map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(x, shingle) for x in strings(batch.column(2))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], [key, "th", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["key", "th", "fp"])
 
-    rows = docs.select(key, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), text)
-    return arrow_map(rows, run, f"`{key}` {docs.schema[key].dataType.simpleString()}, th bigint, fp bigint")
+    t = F.col(f"`{text}`")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("th"), t.alias("t"))
+    return arrow_map(rows, run, f"key {docs.schema[key].dataType.simpleString()}, th bigint, fp bigint")
 
 
 def variants(fps: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +245,7 @@ def components(fps: DataFrame, distance: int = DISTANCE, hot_from: int = HOT) ->
 def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE, hot_from: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Rows ``key, th, fp``, and per distinct ``fp`` its ``root`` and ``component_id`` (the least key reachable)."""
     owned = materialise(fingerprints(docs, text, key, shingle), "fingerprints")
-    nodes = materialise(owned.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
+    nodes = materialise(owned.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
     rooted = nodes.join(components(nodes.select("fp"), distance, hot_from), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return owned, materialise(rooted.join(named, "root").select("fp", "root", "component_id"), "components")
@@ -251,20 +254,21 @@ def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: i
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """``key, fingerprint`` (16 hexadecimal digits) ``, component_id``, one row per row of ``docs``."""
     owned, named = grouped(docs, text, key, **options)
-    return owned.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return owned.join(named, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one row of each component: that of the least key (null last; of equal keys one text, of equal rows one)."""
     owned, named = grouped(docs, text, key, **options)
-    order = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("k"), F.col("th"))
+    order = F.struct(F.col("key").isNull().alias("last"), F.col("key").alias("k"), F.col("th"))
     chosen = owned.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("c")).select(F.col("c.k").alias("_k"), F.col("c.th").alias("_th"))
-    rows = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    kept = rows.join(chosen, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_text_hash") == F.col("_th")), "left_semi")
+    at, own = (f"c{docs.columns.index(c)}" for c in (text, key))
+    rows = numbered(docs).withColumn("_hash", F.xxhash64(F.coalesce(F.col(at), F.lit(""))))
+    kept = rows.join(chosen, F.col(own).eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_th")), "left_semi")
     # whole texts are dealt out again only if some row does come twice
-    if owned.groupBy(key, "th").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([key, "_text_hash"])
-    return kept.select(*docs.columns)
+    if owned.groupBy("key", "th").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates([own, "_hash"])
+    return kept.drop("_hash").toDF(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,11 @@ language, source and id are no inputs of a score. Scoring covers every text whol
 and is a narrow map.
 
 Defined results: null and empty texts have no passage and get the score of no
-evidence; repeated rows score alike; without both labels in the sample the score
-is the share of toxic labels (zero without labels).
+evidence; a text of any length is scanned whole; of segments that tie all are
+passages; repeated rows score alike, of labels that repeat for one id the greatest
+counts; columns of any name pass through, but for those of the results, which are
+replaced; without both labels in the sample the score is the share of toxic labels
+(zero without labels).
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelweave.llm.common import arrow_map, strings
+from panelweave.llm.common import arrow_map, numbered, strings, with_results
 from panelweave.session import materialise, table
 
 TRAIN_DOCS, TOKENS = 8_000, 4_000
@@ -158,11 +161,12 @@ def token_scores(sample: DataFrame) -> dict[str, float]:
 
 def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", limit: int = TRAIN_DOCS) -> DataFrame:
     """``text, toxic`` of at most ``limit`` labelled rows that are not held out."""
-    keys = labels.where(F.col(key).isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col(key)))
-    keys = keys.groupBy(F.col(key).alias("labelled")).agg(F.max("toxic").cast("int").alias("toxic"))
+    keys = labels.select(F.col(f"`{key}`").alias("labelled"), "toxic")
+    keys = keys.where(F.col("labelled").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("labelled")))
+    keys = keys.groupBy("labelled").agg(F.max("toxic").cast("int").alias("toxic"))
     keys = F.broadcast(keys.orderBy(F.md5(F.col("labelled").cast("string"))).limit(limit))
     # an id that many rows share adds its text once
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(keys, F.col("k") == F.col("labelled"))
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(keys, F.col("k") == F.col("labelled"))
     return rows.groupBy("k").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
@@ -246,9 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``toxicity`` (0 to 1) and ``passages`` (first word, word after the last, segment score). A narrow map."""
-    if clash := {"toxicity", "passages"} & set(docs.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
-    at = docs.columns.index(text)
+    at, rows = docs.columns.index(text), numbered(docs)
     kind = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,8 +263,15 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             arrays = [*batch.columns, pa.array(scores, pa.float64()), pa.array(passages, kind)]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "toxicity", "passages"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(docs, run, f"{fields}, toxicity double, passages array<struct<first:bigint,stop:bigint,score:double>>")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    found = arrow_map(rows, run, f"{fields}, toxicity double, passages array<struct<first:bigint,stop:bigint,score:double>>")
+    return with_results(found, docs.columns, {c: F.col(c) for c in ("toxicity", "passages")})
+
+
+def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = REJECT_FROM) -> DataFrame:
+    """The rows of ``docs`` whose score is below the threshold, with all their columns and no others."""
+    found = score(numbered(docs), model, f"c{docs.columns.index(text)}").where(F.col("toxicity") < threshold)
+    return found.drop("toxicity", "passages").toDF(*docs.columns)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
