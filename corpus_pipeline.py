@@ -15,7 +15,7 @@ from panelweave.session import materialise, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts whose toxicity is below the threshold."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("toxicity") < toxicity.REJECT_FROM).select(*docs.columns)
+    return toxicity.reject(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
