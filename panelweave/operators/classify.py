@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -33,11 +34,40 @@ def catalogue(frames: Sequence[DataFrame], label: str, year: str) -> DataFrame:
     return keep_first(union_by_name(frames).where(F.col(label).isNotNull()), [label], [year])
 
 
-def classify(df: DataFrame, text: str, out: str = "field", function: Callable[[str], str] = offline, workers: int | None = None) -> DataFrame:
-    """``df`` with the class of each distinct text; every text is asked for once.
+def patient(function: Callable[[str], str], retries: int = 0, pause: float = 1.0, least: float = 0.0, failed: str | None = None) -> Callable[[str], str | None]:
+    """The function as a remote service needs it: called again up to ``retries`` times after an error, with pauses that double, and never sooner than ``least`` seconds after the call before.
 
-    ``workers`` bounds how many tasks call the function at the same time.
+    What fails for good gives ``failed``; without that the last error stands.
     """
+    last = [0.0]
+
+    def call(text: str) -> str | None:
+        for attempt in range(retries + 1):
+            time.sleep(max(0.0, last[0] + least - time.monotonic()))
+            last[0] = time.monotonic()
+            try:
+                return function(text)
+            except Exception:
+                if attempt < retries:
+                    time.sleep(pause * 2**attempt)
+                elif failed is None:
+                    raise
+        return failed
+
+    return call
+
+
+def classify(df: DataFrame, text: str, out: str = "field", function: Callable[[str], str] = offline, workers: int | None = None, retries: int = 0, pause: float = 1.0, per_second: float | None = None, failed: str | None = None) -> DataFrame:
+    """``df`` with the class of each distinct text; every text is asked for once, unless a task is repeated.
+
+    ``workers`` bounds how many tasks call the function at the same time, and with
+    it ``per_second`` the calls of all of them. ``retries``, ``pause`` and ``failed``
+    are those of :func:`patient`.
+    """
+    if per_second and not workers:
+        raise ValueError("a rate needs a number of workers")
+    if retries or per_second or failed is not None:
+        function = patient(function, retries, pause, workers / per_second if per_second else 0.0, failed)
     texts = df.select(F.col(text).alias("_text")).distinct()
     if workers:
         texts = texts.repartition(workers)

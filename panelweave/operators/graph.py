@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from panelweave.session import discard, materialise
 
 #: Degree from which a node is a hub: its edges get its minimum by broadcast, not by a join in one task.
-HUB_DEGREE = 10_000
+HUB_DEGREE = 1_000
 
 
 def _minima(edges: DataFrame) -> DataFrame:

@@ -238,3 +238,27 @@ def test_shares_count_entities_and_null_groups_stay(spark):
     e = spark.createDataFrame([(1, 2005), (2, None), (2, None), (3, None)], "p int, y int")
     assert rows(quality.duplication_classes(e, ["p"], "y")) == sorted([(2005, "1", 1, 1.0), (None, "2", 1, 0.5), (None, "1", 1, 0.5)], key=repr)
     assert rows(panel.histories(spark.createDataFrame([(None, 1, 1), (None, 2, 0), (1, 1, None), (1, 2, 1)], "e int, t int, x int"), ["e"], "t", "x")) == sorted([(None, 2, 1, 1, 1, 1), (1, 2, 1, 2, 0, 1)], key=repr)
+
+
+def test_a_remote_class_is_asked_for_again(spark):
+    import time
+
+    calls = []
+
+    def shaky(text):
+        calls.append(time.monotonic())
+        if len(calls) < 3:
+            raise OSError("busy")
+        return text.upper()
+
+    assert classify.patient(shaky, retries=2, pause=0.01, least=0.05)("a") == "A"
+    assert len(calls) == 3 and calls[1] - calls[0] >= 0.05
+    with pytest.raises(ZeroDivisionError):
+        classify.patient(lambda x: 1 / 0, retries=1, pause=0.0)("a")
+
+    def broken(text):
+        raise OSError("gone")
+
+    df = spark.createDataFrame([("a",), ("a",), (None,)], "label string")
+    found = classify.classify(df, "label", function=broken, workers=2, retries=1, pause=0.0, per_second=100, failed="unknown")
+    assert rows(found) == sorted([("a", "unknown"), ("a", "unknown"), (None, "unknown")], key=repr)
