@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelweave.session import importable
 
+#: Rows and bytes of a slice of an Arrow batch that a function works on at once.
+SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+
 #: ASCII white space, the separator of words: space and 0x09-0x0D. ``bytes.split()`` splits on the same six bytes.
 SPACE = r"\x20\x09-\x0D"
 
@@ -17,11 +20,23 @@ SPACE = r"\x20\x09-\x0D"
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` by workers that find this package wherever the session was started.
 
-    Spark bounds a batch by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB unless set otherwise), so
-    whole long texts need no setting of the session changed.
+    Spark bounds a batch by bytes, and reads the bound when the plan is executed: so where the session has Spark's own
+    64 MB, it is set to ``SLICE_BYTES`` for good; another value is left alone. The function gets a batch in slices of
+    ``SLICE_ROWS`` rows and ``SLICE_BYTES`` at most (or one row), so what it makes of them is small in any case.
     """
-    importable(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(64 << 20):
+        spark.conf.set(key, str(SLICE_BYTES))
+    importable(spark)
+    return df.mapInArrow(lambda batches: fn(sliced(batches)), schema)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices bounded by rows and, where rows are of like size, by bytes."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def ascii_lower(text: Column) -> Column:
