@@ -31,8 +31,8 @@ from panelweave.session import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
-#: Longest chunk that is kept in the cache, and entries before it starts anew (some 60 MB).
-CACHE_CHARS, CACHE_ENTRIES = 40, 300_000
+#: Longest chunk that is kept in the cache, and entries before it starts anew (some 70 MB).
+CACHE_CHARS, CACHE_ENTRIES = 40, 400_000
 
 #: Pairs of tokens whose compatibility is kept (some 50 MB).
 MEMO_ENTRIES = 500_000
@@ -78,7 +78,7 @@ class Codec:
         self._split: dict[int, tuple[int, int]] = {}
         self._shorter: dict[int, int] = {}
         self._fits: dict[int, bool] = {}
-        self._chunks, self._pieces = Generations(CACHE_ENTRIES), Generations(CACHE_ENTRIES // 2)
+        self._chunks, self._pieces = Generations(CACHE_ENTRIES), Generations(CACHE_ENTRIES // 8)
 
     # -- what the merges do to the bytes of a single token or pair
 
@@ -184,7 +184,10 @@ class Codec:
 
     def _encode_chunk(self, chunk: str) -> bytes:
         ids: list[int] = []
-        for piece in self.pieces(chunk):
+        pieces = self.pieces(chunk)
+        if len(pieces) == 1:  # most chunks: kept as a chunk, so not as a piece too
+            return array("I", self.encode_piece(chunk.encode("utf-8").decode("latin-1"))).tobytes()
+        for piece in pieces:
             found = self._pieces.get(piece)
             if found is None:
                 found = self.encode_piece(piece.encode("utf-8").decode("latin-1"))
