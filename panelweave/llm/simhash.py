@@ -13,6 +13,13 @@ that very many fingerprints share gets a second level (one of the two halves of
 the *other* segment with one bit left out), which holds 2**18 fingerprints at
 most; no task ever meets an unbounded group.
 
+One fingerprint finds few of the pairs that differ in some words. So the operator
+can take several independent ones (``lanes``): the first is the contract's, the
+others come from the same shingle hashes mixed anew. A pair then links when at
+least one lane differs by three or fewer bits; each lane is searched exactly as
+above, and the links of all lanes make one set of components. The cost grows with
+the lanes and with nothing else.
+
 Defined results: null and empty texts have fingerprint zero and link like any
 other; a text of any length is hashed whole; repeated rows get one result row each;
 a null ``doc_id`` never names a component unless all its members are null; ties do
@@ -34,6 +41,9 @@ from panelweave.session import materialise, table
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 
+#: Lanes of :func:`deduplicate` in the pipeline.
+LANES = 4
+
 #: Fingerprints with the same segment from which the second level is used, if that is over a 2,000th of all.
 HOT = 20_000
 
@@ -41,37 +51,59 @@ HOT = 20_000
 BLOCK = 1 << 16
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of one text."""
+def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Hashes of a lane, by the SplitMix64 finaliser; lane 0 has them as they are."""
+    if not lane:
+        return hashes
+    x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def lane_fingerprints(text: str, shingle: int = SHINGLE, lanes: int = 1) -> list[int]:
+    """Unsigned 64-bit SimHash of one text in each lane."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return [0] * lanes
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     count = max(1, len(words) - shingle + 1)
     starts = [0, *(ends[: count - 1] + 1).tolist()]
     stops = ends[shingle - 1 :].tolist() if len(words) >= shingle else [len(joined)]
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros((lanes, 64), np.int64)
     for at in range(0, count, BLOCK):
         hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at : at + BLOCK], stops[at : at + BLOCK])]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
+        hashes = np.array(hashes, "<u8")
+        for lane in range(lanes):
+            bits = np.unpackbits(mixed(hashes, lane).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[lane] += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > count, axis=1, bitorder="little").view("<u8").ravel().tolist()
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of one text."""
+    return lane_fingerprints(text, shingle)[0]
+
+
+def lane_names(lanes: int) -> list[str]:
+    return ["fp", *(f"fp{i}" for i in range(1, lanes))]
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """``key`` (of that name), ``th``, ``fp`` per row: the hash of the text and the fingerprint as a signed 64-bit integer. A narrow map."""
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, lanes: int = 1) -> DataFrame:
+    """``key`` (of that name), ``th``, ``fp`` (and ``fp1``… of further lanes) per row: the hash of the text and its fingerprints as signed 64-bit integers. A narrow map."""
+    names = lane_names(lanes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x, shingle) for x in strings(batch.column(2))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["key", "th", "fp"])
+            found = np.array([lane_fingerprints(x, shingle, lanes) for x in strings(batch.column(2))], np.uint64).reshape(-1, lanes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, i].copy()) for i in range(lanes))], ["key", "th", *names])
 
     t = F.col(f"`{text}`")
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("th"), t.alias("t"))
-    return arrow_map(rows, run, f"key {docs.schema[key].dataType.simpleString()}, th bigint, fp bigint")
+    return arrow_map(rows, run, f"key {docs.schema[key].dataType.simpleString()}, th bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def variants(fps: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -228,8 +260,8 @@ def _verify(distance: int):
     return run
 
 
-def components(fps: DataFrame, distance: int = DISTANCE, hot_from: int = HOT) -> DataFrame:
-    """``fp, root`` for every distinct ``fp`` that links to another; ``root`` is one fingerprint of its component."""
+def linked(fps: DataFrame, distance: int = DISTANCE, hot_from: int = HOT) -> DataFrame:
+    """``a, b``: links that connect all distinct fingerprints ``fp`` within the distance, a written table."""
     spark = fps.sparkSession
     halves = fps.select(F.explode(F.array(*[F.struct(F.lit(s).alias("s"), v.alias("v")) for s, v in enumerate((F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))))])).alias("h"))
     limit = max(hot_from, fps.count() // 2000)  # so there are 4,000 values at most
@@ -238,30 +270,61 @@ def components(fps: DataFrame, distance: int = DISTANCE, hot_from: int = HOT) ->
     with arrow_rows(spark, 50_000):
         keyed = fps.select("fp").mapInArrow(_index(hot), "key bigint, fp bigint")
         found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(distance), "a bigint, b bigint")
-        found = materialise(found, "links")
-    return connected_components(found).select(F.col("node").alias("fp"), "root")
+        return materialise(found, "links")
 
 
-def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE, hot_from: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """Rows ``key, th, fp``, and per distinct ``fp`` its ``root`` and ``component_id`` (the least key reachable)."""
-    owned = materialise(fingerprints(docs, text, key, shingle), "fingerprints")
-    nodes = materialise(owned.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
-    rooted = nodes.join(components(nodes.select("fp"), distance, hot_from), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+def components(fps: DataFrame, distance: int = DISTANCE, hot_from: int = HOT) -> DataFrame:
+    """``fp, root`` for every distinct ``fp`` that links to another; ``root`` is one fingerprint of its component."""
+    return connected_components(linked(fps, distance, hot_from)).select(F.col("node").alias("fp"), "root")
+
+
+def lane_components(nodes: DataFrame, lanes: int, distance: int = DISTANCE, hot_from: int = HOT) -> DataFrame:
+    """``id, root`` for every node that links to another in some lane. ``nodes``: a written table of ``id`` and the lanes' fingerprints.
+
+    A lane's links join distinct fingerprints; the node of least id stands for each
+    fingerprint, and all other nodes of that fingerprint are linked to it.
+    """
+    edges = []
+    for name in lane_names(lanes):
+        firsts = materialise(nodes.groupBy(F.col(name).alias("fp")).agg(F.min("id").alias("first")), "firsts")
+        found = linked(firsts.select("fp"), distance, hot_from)
+        far = found.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+        same = nodes.select("id", F.col(name).alias("fp")).join(firsts, "fp").where("id != first")
+        edges += [far.select(F.col("x").alias("a"), F.col("y").alias("b")), same.select(F.col("id").alias("a"), F.col("first").alias("b"))]
+    every = edges[0]
+    for more in edges[1:]:
+        every = every.unionByName(more)
+    return connected_components(every).select(F.col("node").alias("id"), "root")
+
+
+def grouped(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE, distance: int = DISTANCE, hot_from: int = HOT, lanes: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Rows ``key, th`` and the lanes' fingerprints; and per distinct fingerprints their ``root`` and ``component_id`` (the least key reachable)."""
+    names = lane_names(lanes)
+    owned = materialise(fingerprints(docs, text, key, shingle, lanes), "fingerprints")
+    nodes = owned.groupBy(*names).agg(F.min("key").alias("least"))
+    if lanes == 1:
+        nodes = materialise(nodes.withColumn("id", F.col("fp")), "nodes")
+        roots = components(nodes.select("fp"), distance, hot_from).withColumnRenamed("fp", "id")
+    else:
+        nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+        roots = lane_components(nodes, lanes, distance, hot_from)
+    rooted = nodes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return owned, materialise(rooted.join(named, "root").select("fp", "root", "component_id"), "components")
+    return owned, materialise(rooted.join(named, "root").select(*names, "root", "component_id"), "components")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """``key, fingerprint`` (16 hexadecimal digits) ``, component_id``, one row per row of ``docs``."""
+    """``key, fingerprint`` (of the first lane, 16 hexadecimal digits) ``, component_id``, one row per row of ``docs``."""
     owned, named = grouped(docs, text, key, **options)
-    return owned.join(named, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return owned.join(named, lane_names(options.get("lanes", 1))).select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one row of each component: that of the least key (null last; of equal keys one text, of equal rows one)."""
     owned, named = grouped(docs, text, key, **options)
     order = F.struct(F.col("key").isNull().alias("last"), F.col("key").alias("k"), F.col("th"))
-    chosen = owned.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("c")).select(F.col("c.k").alias("_k"), F.col("c.th").alias("_th"))
+    names = lane_names(options.get("lanes", 1))
+    chosen = owned.join(named.select(*names, "root"), names).groupBy("root").agg(F.min(order).alias("c")).select(F.col("c.k").alias("_k"), F.col("c.th").alias("_th"))
     at, own = (f"c{docs.columns.index(c)}" for c in (text, key))
     rows = numbered(docs).withColumn("_hash", F.xxhash64(F.coalesce(F.col(at), F.lit(""))))
     kept = rows.join(chosen, F.col(own).eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_th")), "left_semi")

@@ -15,8 +15,8 @@ def plain(spark, folder, library):  # noqa: F811
     docs = {r["doc_id"]: r["text"] for r in table(spark, folder, "documents").collect()}
     model = toxicity.fit(table(spark, folder, "documents"), table(spark, folder, "labels"))
     docs = {k: t for k, t in docs.items() if model.score(model.evidence(*model.scan(t))) < 0.7}
-    rows = test_simhash.plain_components([(k, test_simhash.plain_fingerprint(t)) for k, t in docs.items()])
-    docs = {k: docs[k] for k, _, c in rows if k == c}
+    rows = test_simhash.plain_lane_groups([(k, test_simhash.plain_lanes(t or "", 4)) for k, t in docs.items()])
+    docs = {k: docs[k] for k, c in rows if k == c}
     items = [(r["item_id"], r["text"]) for r in table(spark, folder, "benchmark").collect()]
     docs = {k: docs[k] for k, _, hits, _ in test_decontaminate.plain(list(docs.items()), items) if not hits}
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")

@@ -15,6 +15,46 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def plain_lanes(text, lanes):
+    words = text.encode().lower().split()
+    grams = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [b" ".join(words)] * bool(words)
+    out = []
+    for lane in range(lanes):
+        hashes = []
+        for g in grams:
+            x = xxhash.xxh64_intdigest(g, 42)
+            if lane:
+                x = (x + lane * 0x9E3779B97F4A7C15) % 2**64
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+                x ^= x >> 31
+            hashes.append(x)
+        out.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    return out
+
+
+def plain_lane_groups(rows):
+    """rows: list of (key, fingerprints of the lanes). The least key of each group, by comparing all pairs in all lanes."""
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    array = np.array([f for _, f in rows], np.uint64).reshape(len(rows), -1)
+    for i in range(len(rows)):
+        for j in np.flatnonzero((np.bitwise_count(array[i + 1 :] ^ array[i]) <= 3).any(axis=1)):
+            a, b = find(i), find(i + 1 + int(j))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            least[find(i)] = min(k, least.get(find(i), k))
+    return [(k, least.get(find(i))) for i, (k, _) in enumerate(rows)]
+
+
 def plain_components(fps):
     """fps: list of (key, fp). The least key of each component, by comparing all pairs."""
     values = sorted({f for _, f in fps})
@@ -54,6 +94,36 @@ def test_query_against_all_pairs(spark, middle):
     assert len({r[2] for r in found}) < len(found)
 
 
+def test_lanes_are_the_plain_ones():
+    for text in ("", "A", "a b", "A B c d e f", "Été É é x y z", "x y z " * 30000):
+        assert simhash.lane_fingerprints(text, lanes=4) == plain_lanes(text, 4)
+        assert plain_lanes(text, 1) == [plain_fingerprint(text)]
+
+
+@pytest.mark.parametrize("hot_from", [20_000, 3])
+def test_lanes_against_all_pairs(spark, hot_from):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(15):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 200))]
+        for _ in range(12):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), rng.randint(0, 3)):
+                copy[at] = f"w{rng.randrange(3000)}"
+            texts.append(" ".join(copy))
+    texts += ["", None, " ", "a", "a"] + [" ".join(f"w{rng.randrange(3000)}" for _ in range(80)) for _ in range(100)]
+    rng.shuffle(texts)
+    docs = [(None if i % 50 == 49 else i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = plain_lane_groups([(k, plain_lanes(t or "", 4)) for k, t in docs])
+    found = [(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df, lanes=4, hot_from=hot_from).collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    single = {c for _, _, c in plain_components([(k, plain_fingerprint(t or "")) for k, t in docs])}
+    assert len({c for _, c in want}) < len(single)
+    kept = {r["doc_id"] for r in simhash.deduplicate(df, lanes=4, hot_from=hot_from).collect()}
+    assert kept == {c for _, c in want}
+
+
 @pytest.mark.parametrize("hot_from", [20_000, 3])
 def test_components_of_crowded_segments(spark, hot_from):
     rng = random.Random(5)
