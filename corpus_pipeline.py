@@ -19,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One text, that of the least id, of each group that the rule of ``op1_simhash`` links: three-word shingles, three differing bits at most."""
-    return simhash.deduplicate(docs)
+    """One text, that of the least id, of each group linked by fingerprints of three-word shingles: at most three bits differ in one of four lanes, the first of which is that of ``op1_simhash``."""
+    return simhash.deduplicate(docs, lanes=simhash.LANES)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
